@@ -92,7 +92,7 @@ def search(tree: Tree, ids: np.ndarray, unit: np.ndarray, points: np.ndarray, qu
     active, verified = np.arange(len(query_ids)), 0
     for share in (1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1, None):
         outer = np.full(len(active), np.inf) if share is None else ranked[active, min(near.shape[1] - 1, int(near.shape[1] * share))]
-        outer = np.maximum(outer, inner[active])
+        outer = np.maximum(outer * (1 + 1e-9) + 1e-9, inner[active])  # rounding may move a point off its own leaf's box
         fresh: list[list[np.ndarray]] = [[] for _ in active]
         for leaf in range(near.shape[1]):
             at = np.flatnonzero(near[active, leaf] <= outer)

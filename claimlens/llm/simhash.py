@@ -107,13 +107,17 @@ def anchors_of(fp: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([empty, *index]), np.concatenate([empty, *anchor])
 
 
+def _bits(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x.view(np.uint64))  # of a signed number it would count the absolute value's
+
+
 def _forest(g: np.ndarray, threshold: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Star edges of the components among the points of one cell; each point is compared once with those not yet reached."""
     out, rest = [], g
     while len(rest) > 1:
         seed, rest, front = rest[0], rest[1:], rest[:1]
         while len(front) and len(rest):
-            near = (np.bitwise_count(front[:256, None] ^ rest[None, :]) <= threshold).any(0)
+            near = (_bits(front[:256, None] ^ rest[None, :]) <= threshold).any(0)
             front = np.concatenate([front[256:], rest[near]])
             if near.any():
                 out.append((np.full(int(near.sum()), seed), rest[near]))
@@ -136,7 +140,7 @@ def match_sorted(cell: np.ndarray, fp: np.ndarray, threshold: int, small: int =
         if not len(at):
             break
         x, y = fp[at], fp[at + k]
-        near = (np.bitwise_count(x ^ y) <= threshold) & (x != y)
+        near = (_bits(x ^ y) <= threshold) & (x != y)
         a.append(x[near])
         b.append(y[near])
     return np.concatenate(a), np.concatenate(b)
