@@ -148,16 +148,16 @@ def document_frequency(docs: DataFrame, terms: DataFrame, text: str) -> DataFram
         def wanted(w: str) -> bool:
             ok = known.get(w)
             if ok is None:
-                if len(known) > 500_000:
+                if len(known) > 150_000:
                     known.clear()
-                at = (h(w.encode(), 42) - (1 << 64) if (h(w.encode(), 42) >> 63) else h(w.encode(), 42)) % _BITS
+                at = h(w.encode(), 42) % _BITS  # the bits are the low ones, signed or not
                 ok = known[w] = bool(bitmap[at >> 3] >> (at & 7) & 1)
             return ok
 
         for b in batches:
             for t in b.column(0):
                 seen.update(w for w in set(_TERM.findall(t.as_py().lower())) if wanted(w))
-            if len(seen) > 200_000:
+            if len(seen) > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
                 seen.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])

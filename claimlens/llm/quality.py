@@ -34,7 +34,7 @@ from claimlens.storage import materialise
 BUCKETS = 16_384
 SAMPLE = 5_000
 _TOKENS = re.compile(r"\w+|[^\w\s]+").findall
-_REMEMBER = 300_000
+_REMEMBER = 150_000
 
 
 class Features:
@@ -97,10 +97,14 @@ def weights(docs: DataFrame, ratio: np.ndarray, key: str, text: str, seed: int)
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(buckets)
         for b in batches:
-            f = [features(t.as_py()).astype(np.int64) for t in b.column(2)]
-            w = np.array([float(ratio[x].sum()) for x in f])
+            sizes, w = [], []
+            for t in b.column(2):
+                x = features(t.as_py()).astype(np.int64)
+                sizes.append(len(x))
+                w.append(float(ratio[x].sum()))
+            w = np.array(w, float)
             u = (np.array([xxhash.xxh64_intdigest(str(k.as_py()).encode(), seed) >> 11 for k in b.column(0)], float) + 0.5) / 2**53
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in f], pa.int64()), pa.array(w), pa.array(w - np.log(-np.log(u)))], [key, "text_key", "n_features", "log_weight", "gumbel_weight"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(w), pa.array(w - np.log(-np.log(u)))], [key, "text_key", "n_features", "log_weight", "gumbel_weight"])
 
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     return docs.select(F.col(key), F.xxhash64(F.col(key), body).alias("text_key"), body.alias("__cl_text")).mapInArrow(score, f"`{key}` {kind}, text_key long, n_features long, log_weight double, gumbel_weight double")
