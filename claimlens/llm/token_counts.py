@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlens.llm.tokenise import default_path, json_vocabulary_encoder
+from claimlens.storage import materialise
 
 
 def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -49,8 +50,10 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     Two levels: sums inside blocks of lengths, offsets over the few blocks, so
     no task holds the histogram of all lengths. The blocks are half octaves
     (two per doubling, at most 126 for any 64-bit length), and lengths
-    in the long octaves are cut further into 4096 equal parts.
+    in the long octaves are cut further into 4096 equal parts. The histogram is
+    written once, as both levels read it and each would encode all texts again.
     """
+    hist = materialise(hist, "histogram")
     octave = F.floor(F.log2(F.col("n_tokens") + F.lit(1.0)))
     part = F.floor(F.col("n_tokens") / F.greatest(F.lit(1024.0), F.pow(F.lit(2.0), octave) / 64))
     h = hist.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("toks"), octave.cast("long").alias("o"), part.cast("long").alias("p"))
