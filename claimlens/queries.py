@@ -12,6 +12,7 @@ from claimlens.functions import numbers as N
 from claimlens.functions import text as T
 from claimlens.functions.triggers import deserves_verification, triggers
 from claimlens.operators import aggregates as A
+from claimlens.operators import clusters as C
 from claimlens.operators import guardrails as G
 from claimlens.operators import joins as J
 from claimlens.operators import windows as W
@@ -535,6 +536,19 @@ def voice_identify(spark, d):
     return J.identify(table(spark, d, "embeddings"), prints(spark, d), "vec_id", "embedding", 0.20, 0.06).select("vec_id", "speaker_id", "reason")
 
 
+@query()
+def voice_clusters(spark, d):
+    """Every label's vectors as one recording, at five distances; SQL cannot express the merging."""
+    ship_package(spark)
+    e = table(spark, d, "embeddings").withColumn("recording", F.col("label").cast("string"))
+    return C.average_clusters(e, "recording", "vec_id", "embedding")
+
+
+@query()
+def cluster_sweep(spark, d):
+    return C.cluster_sweep(voice_clusters(spark, d), "recording")
+
+
 @query(CENTRE + " SELECT id AS speaker_id FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.id <> c.id AND list_cosine_similarity(o.c, c.c) > 0.2)")
 def centroid_separation(spark, d):
     return J.separated(prints(spark, d), 0.20).select("speaker_id")
