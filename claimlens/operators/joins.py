@@ -142,22 +142,62 @@ def look_ahead_votes(mentions: DataFrame, segments: DataFrame, after: float = 5.
     return t.groupBy("mention_id").agg(F.max_by("cluster", F.struct("seconds", -F.col("first"))).alias("cluster"))
 
 
-def corroborate(required: DataFrame, heard: DataFrame, pad: float = 20.0, min_anchor: float = 0.2, width: float = 60.0) -> DataFrame:
+def corroborate(required: DataFrame, heard: DataFrame, pad: float | Column = 20.0, min_anchor: float | Column = 0.2, width: float | None = None) -> DataFrame:
     """(statement_id, status, witness): all required figures must be heard from one witness of another family.
 
     required: statement_id, family, start, stop, figures array<struct<kind,value>>, words array<string>;
     heard: witness, witness_seq, w_family, t, kind, value, around array<string>, position int.
+
+    Figures meet by kind, value and time slot, so rows of other values never pair up. Whether a witness spoke in the window at all
+    follows from the first and last time of its slots; only windows inside one slot, which the default width rules out from a pad
+    of a second, look at single rows.
     """
     from claimlens.functions.text import anchor_ratio
 
-    r = required.withColumn("l_start", F.col("start") - pad).withColumn("l_stop", F.col("stop") + pad)
-    h = heard.withColumn("r_start", F.col("t")).withColumn("r_stop", F.col("t"))
-    near = interval_pairs(r, h, width, closed=True).filter(F.col("family") != F.col("w_family"))
-    same = F.exists("figures", lambda q: (q["kind"] == F.col("kind")) & (F.abs(q["value"] - F.col("value")) <= F.lit(1e-9) * F.greatest(F.abs(q["value"]), F.lit(1.0))))
-    anchored = same & (anchor_ratio(F.col("words"), F.col("around"), F.col("position")) >= min_anchor)
-    found = near.groupBy("statement_id", "witness", "witness_seq").agg(F.collect_set(F.when(anchored, F.struct("kind", "value"))).alias("got"), F.count("*").alias("heard"))
+    width = width or max(pad, 1.0)
+    slot = lambda t: F.floor(t / width)
+    # relative tolerance is below a thousandth of a cell on this scale, so equal values lie in one cell or two neighbours
+    cell = lambda v: F.floor(F.signum(v) * F.log1p(F.abs(v)) * 1e6)
+    r = required.withColumns({"lo": F.col("start") - pad, "hi": F.col("stop") + pad})
+    within, other = F.col("t").between(F.col("lo"), F.col("hi")), F.col("family") != F.col("w_family")
+    h = heard.withColumn("slot", slot(F.col("t")))
+    keys = ["statement_id", "witness", "witness_seq"]
+
+    windows = r.select("statement_id", "family", "lo", "hi", F.explode(F.sequence(slot(F.col("lo")), slot(F.col("hi")))).alias("slot"))
+    inside = slot(F.col("lo")) == slot(F.col("hi"))
+    ends = h.groupBy("witness", "witness_seq", "w_family", "slot").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    spoke = windows.filter(~inside).join(ends, "slot").filter(other & (F.col("last") >= F.col("lo")) & (F.col("first") <= F.col("hi"))).select(*keys)
+    spoke = spoke.union(windows.filter(inside).join(h, "slot").filter(other & within).select(*keys)).distinct()
+
+    v, w = F.col("q.value"), F.col("value")
+    slack = F.lit(1e-9) * F.greatest(F.abs(v), F.lit(1.0))
+    asked = r.select("statement_id", "family", "lo", "hi", "words", F.posexplode("figures").alias("i", "q"))
+    asked = asked.withColumn("kind", F.col("q.kind")).withColumn("cell", F.explode(F.array_distinct(F.array(cell(v - slack), cell(v + slack))))).withColumn("slot", F.explode(F.sequence(slot(F.col("lo")), slot(F.col("hi")))))
+    met = asked.join(h.withColumn("cell", cell(w)), ["kind", "cell", "slot"]).filter(other & within & (F.abs(v - w) <= slack) & (anchor_ratio(F.col("words"), F.col("around"), F.col("position")) >= min_anchor))
+    found = spoke.withColumn("i", F.lit(None).cast("int")).union(met.select(*keys, "i")).groupBy(*keys).agg(F.count_distinct("i").alias("n"))
+
     j = required.join(found, "statement_id", "left")
-    missing = F.filter("figures", lambda q: ~F.exists("got", lambda g: (g["kind"] == q["kind"]) & (F.abs(q["value"] - g["value"]) <= F.lit(1e-9) * F.greatest(F.abs(q["value"]), F.lit(1.0)))))
-    status = F.when(F.size("figures") == 0, "no_quantity").when(F.col("witness").isNull(), "absent").when(F.size(missing) == 0, "confirmed").when(F.col("heard") > 0, "divergent").otherwise("absent")
+    status = F.when(F.size("figures") == 0, "no_quantity").when(F.col("witness").isNull(), "absent").when(F.col("n") == F.size("figures"), "confirmed").otherwise("divergent")
     rank = F.when(status == "confirmed", 0).when(status == "divergent", 1).otherwise(2)
     return j.groupBy("statement_id").agg(F.min_by(F.struct(status.alias("status"), F.col("witness").alias("witness")), F.struct(rank, F.coalesce("witness_seq", F.lit(0)))).alias("b")).select("statement_id", "b.status", "b.witness")
+
+
+def settings_sweep(required: DataFrame, heard: DataFrame, pads: list[float], anchors: list[float], must_block: list | None = None, must_confirm: list | None = None) -> DataFrame:
+    """(pad, min_anchor, statements, with_figures, corroborated, coverage, kept) of every pair of settings, in one pass.
+
+    kept: every statement of ``must_block`` is not confirmed and every one of ``must_confirm`` is. Inputs as for ``corroborate``.
+    """
+    spark = required.sparkSession
+    grid = spark.createDataFrame([(float(p), float(a)) for p in pads for a in anchors], "pad double, min_anchor double")
+    rows = required.join(F.broadcast(grid)).withColumn("statement_id", F.struct("statement_id", "pad", "min_anchor")).drop("pad", "min_anchor")
+    status = corroborate(rows, heard, F.col("statement_id.pad"), F.col("statement_id.min_anchor"), max(1.0, min(pads))).select("statement_id.*", "status")
+    figures, confirmed = F.count_if(F.col("status") != "no_quantity"), F.count_if(F.col("status") == "confirmed")
+    bad = (F.col("statement_id").isin(must_block or []) & (F.col("status") == "confirmed")) | (F.col("statement_id").isin(must_confirm or []) & (F.col("status") != "confirmed"))
+    return status.groupBy("pad", "min_anchor").agg(
+        F.count("*").alias("statements"), figures.alias("with_figures"), confirmed.alias("corroborated"), F.round(confirmed / F.greatest(figures, F.lit(1)), 3).alias("coverage"), (F.count_if(bad) == 0).alias("kept")
+    )
+
+
+def best_setting(sweep: DataFrame) -> DataFrame:
+    """Of the kept settings the smallest pad, then the largest anchor."""
+    return sweep.filter("kept").orderBy("pad", F.desc("min_anchor")).limit(1)

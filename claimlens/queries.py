@@ -508,7 +508,23 @@ def family_witness(spark, d):
     none = F.array().cast("array<string>")
     req = e.filter("event_type = 'view'").select(F.col("event_id").alias("statement_id"), F.lit("view").alias("family"), F.col("t").alias("start"), F.col("t").alias("stop"), F.array(F.struct(F.lit("magnitude").alias("kind"), F.col("f").alias("value"))).alias("figures"), none.alias("words"))
     heard = e.filter("event_type in ('click', 'purchase')").select(F.col("event_type").alias("witness"), F.when(F.col("event_type") == "click", 1).otherwise(2).alias("witness_seq"), F.col("event_type").alias("w_family"), "t", F.lit("magnitude").alias("kind"), F.col("f").alias("value"), none.alias("around"), F.lit(0).alias("position"))
-    return J.corroborate(req, heard, float(PAD), 0.2, 2.0 * PAD)
+    return J.corroborate(req, heard, float(PAD), 0.2)
+
+
+ANCHOR = "((v.user_id % 4 = w.user_id % 4)::INT + (v.event_id % 3 = w.event_id % 3)::INT + (v.user_id % 5 = w.user_id % 5)::INT) / 3.0"
+
+
+@query(f"""WITH e AS (SELECT *, floor(value) AS f FROM ({EV}) x), v AS (SELECT * FROM e WHERE event_type = 'view'), w AS (SELECT * FROM e WHERE event_type IN ('click', 'purchase')),
+ j AS (SELECT v.event_id, abs(w.t - v.t) AS away, {ANCHOR} AS anchor FROM v JOIN w ON w.f = v.f AND w.t BETWEEN v.t - {PAD} AND v.t + {PAD}),
+ g AS (SELECT * FROM (VALUES ({PAD / 4}), ({PAD / 2}), ({PAD}.0)) p(pad), (VALUES (0.0), (0.3), (0.6)) a(min_anchor)),
+ r AS (SELECT pad, min_anchor, count(DISTINCT event_id) AS c FROM g LEFT JOIN j ON away <= pad AND anchor >= min_anchor GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM v)
+ SELECT pad::DOUBLE AS pad, min_anchor::DOUBLE AS min_anchor, n AS statements, n AS with_figures, c AS corroborated, round(c / greatest(n, 1), 3)::DOUBLE AS coverage, true AS kept FROM r, n""")
+def settings_sweep(spark, d):
+    e = ev(spark, d).withColumn("f", F.floor("value").cast("double"))
+    words = F.array(*(F.concat(F.lit(p), F.expr(x).cast("string")) for p, x in (("a", "user_id % 4"), ("b", "event_id % 3"), ("c", "user_id % 5"))))
+    req = e.filter("event_type = 'view'").select(F.col("event_id").alias("statement_id"), F.lit("view").alias("family"), F.col("t").alias("start"), F.col("t").alias("stop"), F.array(F.struct(F.lit("magnitude").alias("kind"), F.col("f").alias("value"))).alias("figures"), words.alias("words"))
+    heard = e.filter("event_type in ('click', 'purchase')").select(F.col("event_type").alias("witness"), F.when(F.col("event_type") == "click", 1).otherwise(2).alias("witness_seq"), F.lit("heard").alias("w_family"), "t", F.lit("magnitude").alias("kind"), F.col("f").alias("value"), words.alias("around"), F.lit(0).alias("position"))
+    return J.settings_sweep(req, heard, [PAD / 4, PAD / 2, float(PAD)], [0.0, 0.3, 0.6])
 
 
 # ---- voices

@@ -125,3 +125,36 @@ def test_ledger_stream_retracts(spark, tmp_path):
     q.awaitTermination(120)
     last = {r[1]: (r[2], r[4]) for r in got}
     assert last == {"s1": ("unverified", "conflicted"), "s2": ("unverified", "conflicted"), "s3": ("unverified", "conflicted"), "t1": ("exact", "single")}
+
+
+@pytest.mark.parametrize(("pad", "anchor"), [(0.0, 0.0), (3.0, 0.2), (20.0, 0.5)])
+def test_corroborate_equals_brute_force(spark, pad, anchor):
+    import random
+
+    from claimlens.operators.joins import corroborate
+
+    rng = random.Random(int(pad) + 1)
+    words = ["dette", "emploi", "budget", "impot", "taux"]
+    kinds, values = ["percentage", "magnitude"], [0.0, 0.5, -3.0, 2.7e6]
+    req = [(k, rng.choice("AB"), s := float(rng.randrange(200)), s + rng.choice([0.0, 0.5, 4.0, 90.0]), [(rng.choice(kinds), rng.choice(values)) for _ in range(rng.randrange(3))], rng.sample(words, rng.randrange(5))) for k in range(60)]
+    heard = [(f"w{(n := rng.randrange(3))}", n, "AAB"[n], float(rng.randrange(200)), rng.choice(kinds), rng.choice(values) * (1 + rng.choice([0, 1e-10, 1e-8])), rng.sample(words, 4), rng.randrange(4)) for _ in range(90)]
+
+    def ratio(want, around, at):
+        return 1.0 if len(want) < 3 else len(set(want) & set(around[max(0, at - 12) : at + 12])) / len(want)
+
+    expected = {}
+    for k, family, start, stop, figures, want in req:
+        best = (2, 0, "no_quantity" if not figures else "absent", None)
+        for w in range(3):
+            near = [h for h in heard if h[1] == w and h[2] != family and start - pad <= h[3] <= stop + pad]
+            if near:
+                ok = all(any(h[4] == kind and abs(h[5] - v) <= 1e-9 * max(abs(v), 1) and ratio(want, h[6], h[7]) >= anchor for h in near) for kind, v in figures)
+                status = "no_quantity" if not figures else "confirmed" if ok else "divergent"
+                rank = {"confirmed": 0, "divergent": 1}.get(status, 2)
+                if best[3] is None or (rank, w) < best[:2]:
+                    best = (rank, w, status, f"w{w}")
+        expected[k] = best[2:]
+    r = spark.createDataFrame(req, "statement_id int, family string, start double, stop double, figures array<struct<kind:string,value:double>>, words array<string>")
+    h = spark.createDataFrame(heard, "witness string, witness_seq int, w_family string, t double, kind string, value double, around array<string>, position int")
+    assert {x["statement_id"]: (x["status"], x["witness"]) for x in corroborate(r, h, pad, anchor).collect()} == expected
+    assert {s for s, _ in expected.values()} >= {"confirmed", "divergent", "no_quantity"}
