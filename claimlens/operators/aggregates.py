@@ -14,7 +14,8 @@ def share(n, of):
 
 def trigger_density(statements: DataFrame, minutes: float) -> DataFrame:
     """Total, per minute and count of each type over triggers (array of spans)."""
-    t = statements.select(F.explode("triggers.type").alias("type"))
+    # a plain explode would be given a filter on its array, and with it a second run of the scanner
+    t = statements.select(F.explode_outer("triggers.type").alias("type")).filter("type is not null")
     by = t.groupBy("type").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy())
     return by.select("type", "n", total.alias("total"), F.when(F.lit(minutes) > 0, F.round(total / F.lit(minutes), 2)).otherwise(0.0).alias("per_minute"))

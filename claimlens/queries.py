@@ -17,7 +17,7 @@ from claimlens.operators import guardrails as G
 from claimlens.operators import joins as J
 from claimlens.operators import windows as W
 from claimlens.plans import chain as P
-from claimlens.storage import ship_package, table
+from claimlens.storage import ship_package, spread, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -239,13 +239,13 @@ def rendered(spark, d, e=RENDER):
  SELECT type, n, sum(n) OVER ()::BIGINT AS total, round(sum(n) OVER () / 60.0, 2)::DOUBLE AS per_minute FROM k WHERE n > 0""")
 def trigger_density(spark, d):
     ship_package(spark)
-    return A.trigger_density(rendered(spark, d).select(triggers(F.col("text")).alias("triggers")), 60.0)
+    return A.trigger_density(spread(rendered(spark, d)).select(triggers(F.col("text")).alias("triggers")), 60.0)
 
 
 @query(f"SELECT count(*) AS statements, count(*) FILTER (o_orderkey % 6 <> 2) AS with_triggers, count(*) FILTER (o_orderkey % 6 IN (3, 4)) AS candidates, count(*) FILTER (o_orderkey % 6 <> 2 OR length({SHORT}) > 40) AS degree2 FROM orders")
 def trigger_funnel(spark, d):
     ship_package(spark)
-    s = rendered(spark, d, SHORT).withColumn("tr", triggers(F.col("text")))
+    s = spread(rendered(spark, d, SHORT)).withColumn("tr", triggers(F.col("text")))
     return s.agg(F.count("*").alias("statements"), F.count_if(F.size("tr") > 0).alias("with_triggers"), F.count_if(deserves_verification(F.col("tr"))).alias("candidates"), F.count_if((F.size("tr") > 0) | (F.length("text") > 40)).alias("degree2"))
 
 
@@ -254,7 +254,7 @@ def trigger_funnel(spark, d):
  SELECT kind, count(*) AS n, sum(value)::DOUBLE AS total FROM q GROUP BY 1""")
 def figures_extract(spark, d):
     ship_package(spark)
-    q = rendered(spark, d).select(F.explode(N.quantities(F.col("text"))).alias("q"))
+    q = spread(rendered(spark, d)).select(F.explode_outer(N.quantities(F.col("text"))).alias("q")).filter("q.kind is not null")
     return q.groupBy("q.kind").agg(F.count("*").alias("n"), F.sum("q.value").alias("total"))
 
 
@@ -262,7 +262,7 @@ def figures_extract(spark, d):
  SELECT a.o_custkey, coalesce(p.n, 0) AS matches FROM a LEFT JOIN p ON a.v = p.v""")
 def quantity_match(spark, d):
     ship_package(spark)
-    q = lambda df, k: df.select(k, F.explode(N.not_years(N.quantities(F.col("t")))).alias("q")).select(k, "q.kind", "q.value")
+    q = lambda df, k: df.select(k, F.explode_outer(N.not_years(N.quantities(F.col("t")))).alias("q")).filter("q.kind is not null").select(k, "q.kind", "q.value")
     a = q(table(spark, d, "orders").select("o_custkey").distinct().select("o_custkey", F.expr("concat(1 + o_custkey % 40, ' milliards')").alias("t")), "o_custkey")
     p = q(table(spark, d, "part").select("p_partkey", F.expr("concat(1 + p_size % 40, ' milliards')").alias("t")), "p_partkey").groupBy("kind", "value").agg(F.count("*").alias("n"))
     return a.join(p, ["kind", "value"], "left").select("o_custkey", F.coalesce("n", F.lit(0)).alias("matches"))
