@@ -44,19 +44,25 @@ CELL = 4096
 _BLOCK = 1 << 16
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """64-bit SimHash of lower-cased (A-Z) word shingles, repeats included, hashed by XXH64 with seed 42."""
+def shingles(text: bytes, words: int) -> list[int]:
+    """XXH64 with seed 42 of the lower-cased (A-Z) word shingles, repeats included; fewer words are one shingle, none gives none."""
     w = text.lower().split()  # bytes: A-Z only, and exactly the six ASCII separators
     if not w:
-        return 0
+        return []
     line = b" ".join(w)
     h = xxhash.xxh64_intdigest
     if len(w) < words:
-        hashes = [h(line, SEED)]
-    else:
-        ends = list(accumulate(map(len, w), lambda a, n: a + n + 1))
-        starts = [0, *(e + 1 for e in ends)]
-        hashes = [h(line[a:b], SEED) for a, b in zip(starts, ends[words - 1 :])]
+        return [h(line, SEED)]
+    ends = list(accumulate(map(len, w), lambda a, n: a + n + 1))
+    starts = [0, *(e + 1 for e in ends)]
+    return [h(line[a:b], SEED) for a, b in zip(starts, ends[words - 1 :])]
+
+
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """64-bit SimHash of the shingles; zero where there are none."""
+    hashes = shingles(text, words)
+    if not hashes:
+        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), _BLOCK):
         a = np.array(hashes[i : i + _BLOCK], np.uint64)
