@@ -10,8 +10,9 @@ information, log(N / n_e). The share
 is 1 where the term stands only with the entity and 0 where they are independent. n_te: documents with
 the term within ``window`` words of the entity; n_t, n_e: documents with the term, the
 entity; N: all documents. Terms of ``disclosure`` or more are added as spans wherever they
-stand near the entity: generalised, or removed from ``removal`` on. Evidence must
-come from ``support`` different texts, so copies of one text prove nothing.
+stand near the entity: generalised, or removed from ``removal`` on. For n_te / n_t stands the lower end of
+Wilson's interval, one-sided at 95 % (``z``): a single document proves little about a common entity, whose
+information is small, but enough about one seen once or twice among many.
 
 All counts cover all documents. Documents without an entity are never changed.
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.storage import materialise
@@ -166,28 +167,32 @@ def document_frequency(docs: DataFrame, terms: DataFrame, text: str) -> DataFram
     return words.groupBy("term").agg(F.sum("n").alias("n_t")).join(terms, "term", "left_semi")
 
 
-def revealing(docs: DataFrame, scanned: DataFrame, text: str, disclosure: float, support: int) -> DataFrame | None:
-    """(entity, term, share) of the terms that disclose an entity; None where no pair has the support."""
+def share_of(n_te: Column, n_t: Column, n_e: Column, total: int, z: float) -> Column:
+    """The share of an entity's information that a term discloses, at the lower end of the interval for n_te / n_t."""
+    p, n = n_te / n_t, n_t.cast("double")
+    low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    return F.log(low * F.lit(float(total)) / n_e) / F.log(F.lit(float(total)) / n_e)
+
+
+def revealing(docs: DataFrame, scanned: DataFrame, text: str, disclosure: float, z: float) -> DataFrame | None:
+    """(entity, term, share) of the terms that disclose an entity; None where there is no pair."""
     rows = scanned.filter(F.size("spans") > 0)
-    pairs = rows.select("row", "text_key", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p")).select("row", "text_key", "p.entity", "p.term")
-    # copies of a text have different keys, so the words around the entity stand for the text
-    context = rows.select("row", F.xxhash64(F.transform("near", lambda x: x["term"])).alias("context"))
-    pairs = pairs.join(context, "row")
-    pairs = materialise(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.countDistinct("context").alias("texts")).filter(F.col("texts") >= support), "pairs")
+    pairs = rows.select("row", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p")).select("row", "p.entity", "p.term")
+    pairs = materialise(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te")), "pairs")
     if not pairs.limit(1).count():
         return None
     total = docs.count()
     n_e = rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     n_t = document_frequency(docs, pairs.select("term").distinct(), text)
-    share = F.log(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(total)) / F.col("n_e"))
+    share = share_of(F.col("n_te"), F.col("n_t"), F.col("n_e"), total, z)
     return pairs.join(n_e, "entity").join(n_t, "term").filter(F.col("n_e") < total).select("entity", "term", share.alias("share")).filter(F.col("share") >= disclosure)
 
 
-def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 5, least: int = 3, disclosure: float = 0.8, removal: float = 0.95, support: int = 3) -> DataFrame:
+def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 5, least: int = 3, disclosure: float = 0.8, removal: float = 0.95, z: float = 1.645) -> DataFrame:
     """(key, row, text_key, spans): spans is an array of (kind, start, stop, share); kind is email, ip, card, phone, term or removed_term."""
     found = materialise(scan(docs, key, text, window, least), "personal")
     base = F.transform("spans", lambda s: F.struct(F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), F.lit(None).cast("double").alias("share")))
-    told = revealing(docs, found, text, disclosure, support)
+    told = revealing(docs, found, text, disclosure, z)
     cols = [key, "row", "text_key"]
     if told is None:
         return found.select(*cols, base.alias("spans"))
