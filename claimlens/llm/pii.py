@@ -1,20 +1,19 @@
 """Personal data by patterns and by information-theoretic sanitisation.
 
-Base spans (e-mail, IP, card, phone) are the protected entities. Words near an
-entity may reveal it as well: from corpus co-occurrence, the pointwise mutual
-information of a term and an entity is compared with the entity's own
-information, log(N / n_e). The share
+Base spans (e-mail, IP, card, phone) are the protected entities. Other terms of their documents may
+reveal them as well: from corpus co-occurrence, the pointwise mutual information of a term and an
+entity is compared with the entity's own information, log(N / n_e). The share
 
-    log(n_te * N / (n_t * n_e)) / log(N / n_e)
+    log(p * N / n_e) / log(N / n_e),   p the part of the term's documents that hold the entity
 
 is 1 where the term stands only with the entity and 0 where they are independent. n_te: documents with
-the term within ``window`` words of the entity; n_t, n_e: documents with the term, the
-entity; N: all documents. Terms of ``disclosure`` or more are added as spans wherever they
-stand near the entity: generalised, or removed from ``removal`` on. For n_te / n_t stands the lower end of
-Wilson's interval, one-sided at 95 % (``z``): a single document proves little about a common entity, whose
-information is small, but enough about one seen once or twice among many.
+both; n_t, n_e: documents with the term, the entity; N: all documents; all over the whole corpus and whole
+documents. For p = n_te / n_t stands the lower end of Wilson's interval, one-sided at 95 % (``z``): a single document
+proves little about a common entity, whose information is small, but enough about one seen once or twice among many.
+Terms of ``disclosure`` or more are added as spans wherever they stand in documents with the
+entity: generalised, or removed from ``removal`` on. A term is a run of letters and digits.
 
-All counts cover all documents. Documents without an entity are never changed.
+Documents without an entity are never changed.
 
 Cases: null text counts as empty; repeated rows are each judged; an empty table gives an
 empty result; extra columns are ignored (``sanitise`` keeps them).
@@ -27,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -42,10 +42,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]").search
-_TERM = re.compile(r"[^\W\d_]+")
+_TERM = re.compile(r"[^\W_]+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-#: Code points looked at on either side of an entity for its window of words.
-REACH = 400
 _BITS = 1 << 24
 
 
@@ -88,44 +86,44 @@ def entity_of(kind: int, value: str) -> str:
     return f"{KINDS[kind]}:{value.lower() if kind == 0 else value if kind == 1 else ''.join(c for c in value if c.isdigit())}"
 
 
-def nearby_terms(text: str, spans: list[tuple[int, int, int]], window: int, least: int) -> list[tuple[int, str, int, int]]:
-    """(index of the base span, lower-cased term, start, end) of words within ``window`` words of a base span."""
-    taken = sorted((a, b) for _, a, b in spans)
-    out = []
-    for i, (_, a, b) in enumerate(spans):
-        lo, hi = max(0, a - REACH), min(len(text), b + REACH)
-        left = [m for m in _TERM.finditer(text, lo, a) if m.start() > lo or lo == 0 or not text[lo - 1].isalpha()]
-        right = [m for m in _TERM.finditer(text, b, hi) if m.end() < hi or hi == len(text) or not text[hi].isalpha()]
-        for m in left[-window:] + right[:window]:
-            if m.end() - m.start() >= least and not any(x < m.end() and m.start() < y for x, y in taken):
-                out.append((i, m[0].lower(), m.start(), m.end()))
-    return out
+def terms_of(text: str) -> set[str]:
+    return {w.lower() for w in set(_TERM.findall(text))}
+
+
+def outside(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(lower-cased term, start, end) of the terms that touch none of the spans."""
+    taken, i, reach = sorted(spans), 0, -1
+    for m in _TERM.finditer(text):
+        while i < len(taken) and taken[i][0] < m.end():
+            reach, i = max(reach, taken[i][1]), i + 1
+        if reach <= m.start():
+            yield m[0].lower(), m.start(), m.end()
 
 
 _SPAN = "struct<kind:int,start:long,stop:long>"
-_NEAR = "struct<entity:string,term:string,start:long,stop:long>"
 _SPAN_PA = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())]))
-_NEAR_PA = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
+_MORE = "array<struct<kind:string,start:long,stop:long,share:double>>"
 
 
-def scan(docs: DataFrame, key: str, text: str, window: int, least: int) -> DataFrame:
-    """(key, row, text_key, spans, entities, near) of every row."""
+def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, row, text_key, spans, entities, terms, body) of every row; terms and body only where there are spans."""
     kind = docs.schema[key].dataType.simpleString()
+    names = [key, "row", "text_key", "spans", "entities", "terms", "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans, entities, near = [], [], []
+            spans, entities, terms, bodies = [], [], [], []
             for t in b.column(3):
                 t = t.as_py()
                 found = base_spans(t)
-                names = [entity_of(k, t[x:y]) for k, x, y in found]
                 spans.append([{"kind": k, "start": x, "stop": y} for k, x, y in found])
-                entities.append(sorted(set(names)))
-                near.append([{"entity": names[i], "term": w, "start": x, "stop": y} for i, w, x, y in nearby_terms(t, found, window, least)] if found else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(spans, _SPAN_PA), pa.array(entities, pa.list_(pa.string())), pa.array(near, _NEAR_PA)], [key, "row", "text_key", "spans", "entities", "near"])
+                entities.append(sorted({entity_of(k, t[x:y]) for k, x, y in found}))
+                terms.append(sorted({w for w, _, _ in outside(t, [(x, y) for _, x, y in found])}) if found else [])
+                bodies.append(t if found else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(spans, _SPAN_PA), pa.array(entities, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.string())), pa.array(bodies, pa.string())], names)
 
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.col(key), F.monotonically_increasing_id().alias("row"), F.xxhash64(F.col(key), body).alias("text_key"), body.alias("__cl_text")).mapInArrow(run, f"`{key}` {kind}, row long, text_key long, spans array<{_SPAN}>, entities array<string>, near array<{_NEAR}>")
+    return docs.select(F.col(key), F.monotonically_increasing_id().alias("row"), F.xxhash64(F.col(key), body).alias("text_key"), body.alias("__cl_text")).mapInArrow(run, f"`{key}` {kind}, row long, text_key long, spans array<{_SPAN}>, entities array<string>, terms array<string>, body string")
 
 
 def document_frequency(docs: DataFrame, terms: DataFrame, text: str) -> DataFrame:
@@ -157,7 +155,7 @@ def document_frequency(docs: DataFrame, terms: DataFrame, text: str) -> DataFram
 
         for b in batches:
             for t in b.column(0):
-                seen.update(w for w in set(_TERM.findall(t.as_py().lower())) if wanted(w))
+                seen.update(w for w in terms_of(t.as_py()) if wanted(w))
             if len(seen) > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
                 seen.clear()
@@ -174,33 +172,45 @@ def share_of(n_te: Column, n_t: Column, n_e: Column, total: int, z: float) -> Co
     return F.log(low * F.lit(float(total)) / n_e) / F.log(F.lit(float(total)) / n_e)
 
 
-def revealing(docs: DataFrame, scanned: DataFrame, text: str, disclosure: float, z: float) -> DataFrame | None:
-    """(entity, term, share) of the terms that disclose an entity; None where there is no pair."""
+def revealing(docs: DataFrame, scanned: DataFrame, text: str, disclosure: float, z: float) -> DataFrame:
+    """(row, term, share) of the terms that disclose an entity of their document, with the largest share of its entities."""
     rows = scanned.filter(F.size("spans") > 0)
-    pairs = rows.select("row", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p")).select("row", "p.entity", "p.term")
-    pairs = materialise(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te")), "pairs")
-    if not pairs.limit(1).count():
-        return None
     total = docs.count()
-    n_e = rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    n_t = document_frequency(docs, pairs.select("term").distinct(), text)
+    held = rows.select("row", F.explode("entities").alias("entity"))
+    n_e = held.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") < total)
+    words = rows.select("row", F.explode("terms").alias("term"))
+    n_t = document_frequency(docs, words.select("term").distinct(), text)
+    # no pair of a document is built whose share would be too small even if the two always stood together
+    most = share_of(F.least("n_t", "n_e"), F.col("n_t"), F.col("n_e"), total, z)
+    held = held.join(n_e, "entity").groupBy("row").agg(F.collect_list(F.struct("entity", "n_e")).alias("held"))
+    pairs = words.join(n_t, "term").join(held, "row").select("row", "term", "n_t", F.explode("held").alias("h")).select("row", "term", "n_t", "h.entity", "h.n_e")
+    pairs = materialise(pairs.filter(most >= disclosure), "pairs")
     share = share_of(F.col("n_te"), F.col("n_t"), F.col("n_e"), total, z)
-    return pairs.join(n_e, "entity").join(n_t, "term").filter(F.col("n_e") < total).select("entity", "term", share.alias("share")).filter(F.col("share") >= disclosure)
+    told = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
+    told = told.select("entity", "term", share.alias("share")).filter(F.col("share") >= disclosure)
+    return pairs.select("row", "entity", "term").join(told, ["entity", "term"]).groupBy("row", "term").agg(F.max("share").alias("share"))
 
 
-def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 5, least: int = 3, disclosure: float = 0.8, removal: float = 0.95, z: float = 1.645) -> DataFrame:
+def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", disclosure: float = 0.8, removal: float = 0.95, z: float = 1.645) -> DataFrame:
     """(key, row, text_key, spans): spans is an array of (kind, start, stop, share); kind is email, ip, card, phone, term or removed_term."""
-    found = materialise(scan(docs, key, text, window, least), "personal")
+    found = materialise(scan(docs, key, text), "personal")
     base = F.transform("spans", lambda s: F.struct(F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), F.lit(None).cast("double").alias("share")))
-    told = revealing(docs, found, text, disclosure, z)
+    told = revealing(docs, found, text, disclosure, z).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("told"))
+
+    @F.pandas_udf(_MORE)
+    def places(body: pd.Series, spans: pd.Series, told: pd.Series) -> pd.Series:
+        def one(t, s, shares):
+            if t is None or shares is None:
+                return []
+            shares = dict(shares)
+            hits = ((a, b, shares[w]) for w, a, b in outside(t, [(x["start"], x["stop"]) for x in s]) if w in shares)
+            return sorted(({"kind": "removed_term" if v >= removal else "term", "start": a, "stop": b, "share": float(v)} for a, b, v in hits), key=lambda x: (x["kind"], x["start"]))
+
+        return pd.Series([one(*x) for x in zip(body, spans, told)])
+
     cols = [key, "row", "text_key"]
-    if told is None:
-        return found.select(*cols, base.alias("spans"))
-    kind = F.when(F.max("share") >= removal, "removed_term").otherwise("term")
-    near = found.filter(F.size("near") > 0).select("row", F.explode("near").alias("n")).select("row", "n.*").join(told, ["entity", "term"])
-    near = near.groupBy("row", "start", "stop").agg(kind.alias("kind"), F.max("share").alias("share"))
-    near = near.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "stop", "share"))).alias("more"))  # at most 2 x window words an entity
-    return found.join(near, "row", "left").select(*cols, F.when(F.col("more").isNull(), base).otherwise(F.concat(base, "more")).alias("spans"))
+    hit = found.join(told, "row").select(*cols, F.concat(base, places("body", "spans", "told")).alias("spans"))
+    return found.join(told, "row", "left_anti").select(*cols, base.alias("spans")).unionByName(hit)
 
 
 def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:
