@@ -177,7 +177,7 @@ def encoded(docs: DataFrame, capacity: int, key: str, text: str, vocabulary: str
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = json_vocabulary_encoder(vocabulary), TaskContext.get().partitionId()
+        encode, task = json_vocabulary_encoder(vocabulary, added=True), TaskContext.get().partitionId()
         full, ranks = 0, {}
         for b in batches:
             rows = {c: [] for c in ("doc_tokens", "full_before", "tail", "rank", "ids")}

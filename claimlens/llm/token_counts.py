@@ -26,7 +26,7 @@ def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str | None
     path = vocabulary or default_path("byte_bpe_50k.json")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = json_vocabulary_encoder(path)
+        encode = json_vocabulary_encoder(path, added=True)
         for b in batches:
             sizes: dict[int, int] = {}
             for t in b.column(0):
