@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from claimlens.llm import ann, bpe, components, exact_dedup, lm, packing, pii, quality, simhash, token_counts, url_filter
+from claimlens.llm import ann, bpe, components, exact_dedup, packing, pii, quality, simhash, token_counts, url_filter
 from claimlens.llm.tokenise import default_path, json_vocabulary_encoder, pattern, read_ranks
 
 SCHEMA = "doc_id long, text string, lang string, component_id string, fp int"
@@ -189,65 +189,6 @@ def test_equal_digests_of_different_texts_stay_apart(spark):
     assert sorted((bytes(r["sha"]), r["keep_id"], r["cnt"]) for r in got) == [(b"\0", 6, 3), (b"\1", 7, 3), (b"\2", 8, 3)]
 
 
-def test_language_model(docs, empty):
-    got = {}
-    for r in lm.score(docs).collect():
-        got.setdefault(r["doc_id"], r)
-    tok = lambda t: [x for x in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if x] + [None]
-    held = lambda k: zlib.crc32(("" if k is None else str(k)).encode()) % 7 == 2
-    c = Counter(w for r in corpus() if not held(r[0]) for w in tok(r[1]))
-    n, v = sum(c.values()), len(c)
-    assert len(got) == len({r[0] for r in corpus()})
-    for k, t, *_ in corpus():
-        r, w = got[k], tok(t)
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(k), len(w), sum(c[x] > 0 for x in w), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), abs=1e-6)
-        assert r["score"] < 0
-    out = [r for r in got.values() if r["held_out"]]
-    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
-    assert lm.score(empty).count() == 0
-
-
-def test_table_draws_follow_the_conditional():
-    d, s, p, others = 0.6, 1.0, 0.05, 7
-    table = lm.log_stirling(lm.EXACT, d)
-    c = 6
-    w = np.array([math.exp(table[c, t] + sum(math.log(s + d * (others + i)) for i in range(t)) + t * math.log(p)) for t in range(1, c + 1)])
-    n = 60_000
-    got = lm.draw_tables(np.full(n, c), np.ones(n, int), np.full(n, others), s, d, np.full(n, p), table, np.random.default_rng(0))
-    assert np.allclose(np.bincount(got, minlength=c + 1)[1:] / n, w / w.sum(), atol=0.01)
-    big = lm.draw_tables(np.array([1, 0, 500, 70]), np.ones(4, int), np.zeros(4), s, d, np.full(4, p), table, np.random.default_rng(0))
-    assert big[0] == 1 and big[1] == 0 and 1 <= big[2] <= 500 and 1 <= big[3] <= 70
-
-
-def test_predictive_probabilities_sum_to_one():
-    """Over all words of the training set and the base's unknown rest, after a sweep."""
-    rng = np.random.default_rng(1)
-    import pickle
-
-    import pandas as pd
-
-    words = np.sort(rng.integers(1, 1 << 60, 40).astype(np.uint64))
-    w = np.sort(rng.choice(words, 3000))
-    menu, counts = np.unique(w, return_counts=True)
-    ctx = rng.integers(0, 5, len(w)).astype(np.uint16)
-    frame = pd.DataFrame({"kind": [0], "part": [0], "chunk": [0], "blob": [pickle.dumps((menu, counts, ctx, np.zeros(len(w), np.uint16)))]})
-    p = lm.Part(iter([frame]), np.zeros(0, np.uint64))
-    m = lm.Model([0.5, 0.6, 0.7], [1.0] * 3, 1 / (len(menu) + 1), np.bincount(p.rest2, p.c2, lm.FINE).astype(float))
-    h = lm.Totals(p.totals(0), np.zeros(0))
-    p.sweep(m, h, rng)
-    h = lm.Totals(p.totals(0), np.zeros(0))
-    root = p.root(m, h)
-    unknown = (m.s[0] + m.d[0] * h.t0) * m.base / (m.s[0] + h.c0)
-    assert root.sum() + unknown == pytest.approx(1)
-    p1 = p.predict1(m, h, root)
-    for u in range(5):
-        at = p.rest1 == u
-        back = (m.s[1] + m.d[1] * h.t1[u]) / (m.s[1] + h.c1[u])
-        missing = 1 - root[p.up0[at]].sum()
-        assert p1[at].sum() + back * missing == pytest.approx(1)
-
-
 def test_packing(docs, empty):
     enc = json_vocabulary_encoder(default_path("byte_bpe_50k.json"))
     want = Counter((r[0], tuple(enc(r[1] or "") + [0])) for r in corpus())
