@@ -16,6 +16,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _made: set[str] = set()
+#: While a scratch table is written: its shuffles go at the end, as nothing reads them again, and rows pass to Python in small batches.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 _shipped: set[str] = set()
 
 
@@ -56,7 +58,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage and stops recomputation."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = {k: spark.conf.get(k) for k in _WRITING}
+    try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
