@@ -13,9 +13,13 @@ import tempfile
 import uuid
 import zipfile
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 _made: set[str] = set()
+_scopes: list[list[DataFrame]] = []
 #: While a scratch table is written: its shuffles go at the end, as nothing reads them again, and rows pass to Python in small batches.
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 _shipped: set[str] = set()
@@ -68,6 +72,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
             spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    for tables in _scopes:
+        tables.append(out)
     return out
 
 
@@ -77,6 +83,18 @@ def release(*tables: DataFrame) -> None:
         _remove(t.sparkSession, t._scratch)
 
 
+@contextmanager
+def discarding() -> Iterator[list[DataFrame]]:
+    """Scratch tables made inside are deleted at the end, but for those taken out of the list."""
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+        release(*made)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once per application."""
     sc = spark.sparkContext
