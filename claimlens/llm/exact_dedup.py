@@ -10,21 +10,19 @@ partition holds the whole groups of its own digest range; no task holds more.
 A run is ordered by a 64-bit digest; entries are merged only if SHA-256 and byte length agree too, so
 texts that share a 64-bit digest stay apart.
 
-Cases: null text counts as empty; null keys are the smallest; of rows with equal text and
-key exactly one is kept; an empty table gives an empty result; extra columns are
+Cases: null text counts as empty; keys are integers or strings; null keys are the smallest; of rows with equal text and
+key exactly one is kept; of a very long text only its digest travels; an empty table gives an empty result; extra columns are
 ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
+import string
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.storage import materialise
@@ -32,17 +30,15 @@ from claimlens.storage import materialise
 FAN = 4
 
 
-def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, row, d, sha, size) of the whole text with A-Z lower-cased; row numbers the rows."""
+def lowered(text: str) -> Column:
+    """The text with A-Z lower-cased, null as empty."""
+    return F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t.as_py().lower() for t in b.column(2)]
-            d = np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64())], ["id", "row", "d", "sha", "size"])
 
-    body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    return docs.select(F.col(key).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), body.alias("__cl_text")).mapInArrow(run, "id long, row long, d long, sha binary, size long")
+def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, row, d, sha, size) of the whole text with A-Z lower-cased; row numbers the rows."""
+    rows = docs.select(F.col(key).alias("id"), F.monotonically_increasing_id().alias("row"), lowered(text).alias("t"))
+    return rows.select("id", "row", F.xxhash64("t").alias("d"), F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("sha"), F.octet_length("t").cast("long").alias("size"))
 
 
 def _merge(keep: str):
@@ -56,7 +52,8 @@ def _merge(keep: str):
             starts = np.flatnonzero(new)
             ends = np.r_[starts[1:], len(f)] - 1
             best = ends if keep == "max" else starts
-            ids, has = f["id"].to_numpy(np.int64, na_value=0), f["id"].notna().to_numpy()
+            has = f["id"].notna().to_numpy()
+            ids = f["id"].to_numpy(np.int64, na_value=0) if f["id"].dtype == "Int64" else f["id"].where(has, "").to_numpy(object)
             group = np.cumsum(new) - 1
             same = (ids == ids[best][group]) & (has == has[best][group])
             out = f.iloc[best].reset_index(drop=True)
@@ -71,9 +68,11 @@ def _merge(keep: str):
     return run
 
 
-def _typed(run):
+def _typed(run, kind: str):
+    """Integers keep all digits beside nulls."""
+
     def typed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return run(f.astype({"id": "Int64"}) for f in frames)
+        return run(f.astype({"id": "Int64"}) if kind == "bigint" else f for f in frames)
 
     return typed
 
@@ -85,8 +84,11 @@ def merge_runs(entries: DataFrame, keep: str = "max") -> DataFrame:
     while FAN**rounds < int(spark.conf.get("spark.sql.shuffle.partitions")):
         rounds += 1
     order = ["d", "sha", "size", F.col("id").asc_nulls_first() if keep == "max" else F.col("id").asc_nulls_last(), "row"]
-    schema = "cur int, d long, sha binary, size long, id long, row long, cnt long, ties long"
-    merge = _typed(_merge(keep))
+    if entries.schema["id"].dataType.simpleString() in ("tinyint", "smallint", "int"):
+        entries = entries.withColumn("id", F.col("id").cast("long"))
+    kind = entries.schema["id"].dataType.simpleString()
+    schema = f"cur int, d long, sha binary, size long, id {kind}, row long, cnt long, ties long"
+    merge = _typed(_merge(keep), kind)
     cols = [c.split()[0] for c in schema.split(", ")]
     runs = entries.select(F.pmod(F.spark_partition_id(), F.lit(FAN**rounds)).alias("cur"), "d", "sha", "size", "id", "row", F.lit(1).cast("long").alias("cnt"), F.lit(1).cast("long").alias("ties"))
     runs = runs.sortWithinPartitions(*order).mapInPandas(merge, schema)
@@ -116,11 +118,9 @@ def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
     """The rows that stay, with all their columns."""
     entries = digests(docs, key, text)
     groups = materialise(merge_runs(entries, keep), "groups")
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    lowered = F.translate(body, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = docs.withColumn("__cl_sha", F.unhex(F.sha2(lowered.cast("binary"), 256)))
+    rows = docs.withColumn("__cl_sha", F.unhex(F.sha2(lowered(text).cast("binary"), 256)))
     stay = groups.select(F.col("sha").alias("__cl_sha"), F.col("keep_id").alias("__cl_id"), "ties")
-    same = lambda s: (F.col("__cl_l.__cl_sha") == F.col("__cl_r.__cl_sha")) & F.col(f"__cl_l.{key}").cast("long").eqNullSafe(F.col("__cl_r.__cl_id"))
+    same = lambda s: (F.col("__cl_l.__cl_sha") == F.col("__cl_r.__cl_sha")) & F.col(f"__cl_l.{key}").eqNullSafe(F.col("__cl_r.__cl_id"))
     once = rows.alias("__cl_l").join(stay.filter("ties = 1").drop("ties").alias("__cl_r"), same(1), "left_semi")
     if not groups.filter("ties > 1").limit(1).count():
         return once.select(docs.columns)

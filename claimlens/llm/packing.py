@@ -13,8 +13,9 @@ the sequence borders; its places follow from the histogram alone.
 Ranks need no sort: each task numbers its tails per length as it encodes, and
 a prefix sum over (length, task) makes the numbers global.
 
-Cases: null text counts as empty and is its end id alone; repeated rows are packed each;
-an empty table gives an empty result; extra columns are ignored.
+Cases: null text counts as empty and is its end id alone; repeated rows and ties of length are packed each; keys of any type pass
+unchanged, null ones too; a very long text fills sequences of its own; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -177,7 +177,7 @@ def encoded(docs: DataFrame, capacity: int, key: str, text: str, vocabulary: str
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = json_vocabulary_encoder(vocabulary, added=True), TaskContext.get().partitionId()
+        encode, task = json_vocabulary_encoder(vocabulary), TaskContext.get().partitionId()
         full, ranks = 0, {}
         for b in batches:
             rows = {c: [] for c in ("doc_tokens", "full_before", "tail", "rank", "ids")}
@@ -214,24 +214,24 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
     ranks = ranks.select("tail", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank_base"))
     fulls = t.groupBy("task").agg(F.max(F.col("full_before") + F.floor(F.col("doc_tokens") / capacity)).alias("n"))
     fulls = fulls.select("task", F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("full_base"))  # one row a task
-    bases = materialise(ranks.join(fulls, "task"), "bases")
-    n_bases = bases.count()
-    bases = F.broadcast(bases) if n_bases <= 1_000_000 else bases  # at most tasks x capacity rows of 28 bytes
+    bases = materialise(ranks.join(fulls, "task"), "bases")  # at most tasks x capacity rows of 28 bytes: Spark broadcasts them where its own bound allows
     kind = t.schema[key].dataType.simpleString()
 
-    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             rows = []
-            for k, total, tail, rank, full, raw in zip(f[key], f["doc_tokens"], f["tail"], f["rank"] + f["rank_base"], f["full_before"] + f["full_base"], f["ids"]):
-                ids = _ids(raw)
+            for i, (total, tail, rank, rank_base, before, full_base, raw) in enumerate(zip(*(c.to_pylist() for c in b.columns[1:]))):
+                ids, rank, full = _ids(raw), rank + rank_base, before + full_base
                 cut = total - tail
                 pieces = [(s, capacity, layout.sequences + full + s // capacity, 0) for s in range(0, cut, capacity)]
                 if tail:
                     pieces += [(cut + s, n, q, o) for s, n, q, o in layout.place(tail, rank)]
                 for s, n, q, o in pieces:
                     part = ids[s : s + n].tobytes()
-                    rows.append((k, s, n, part if with_ids else None, zlib.crc32(part), total, q, o))
-            yield pd.DataFrame(rows, columns=[key, "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+                    rows.append((i, s, n, part if with_ids else None, zlib.crc32(part), total, q, o))
+            of, *columns = zip(*rows) if rows else [()] * 8
+            kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds))], [key, "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     joined = t.join(bases, ["tail", "task"])
-    return joined.select(key, "doc_tokens", "tail", "rank", "rank_base", "full_before", "full_base", "ids").mapInPandas(assign, f"`{key}` {kind}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return joined.select(key, "doc_tokens", "tail", "rank", "rank_base", "full_before", "full_base", "ids").mapInArrow(assign, f"`{key}` {kind}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -11,11 +11,12 @@ both; n_t, n_e: documents with the term, the entity; N: all documents; all over
 documents. For p = n_te / n_t stands the lower end of Wilson's interval, one-sided at 95 % (``z``): a single document
 proves little about a common entity, whose information is small, but enough about one seen once or twice among many.
 Terms of ``disclosure`` or more are added as spans wherever they stand in documents with the
-entity: generalised, or removed from ``removal`` on. A term is a run of letters and digits.
+entity: generalised to their class, or removed from ``removal`` on. A term is a run of letters and digits.
 
 Documents without an entity are never changed.
 
-Cases: null text counts as empty; repeated rows are each judged; an empty table gives an
+Cases: null text counts as empty; repeated rows are each judged and counted; an entity that all documents hold has no information and
+protects nothing; terms that tie all go; a very long text is scanned whole in one pass, in proportion to its length; an empty table gives an
 empty result; extra columns are ignored (``sanitise`` keeps them).
 """
 
@@ -32,6 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimlens.llm.rows import body_of, text_key
 from claimlens.storage import materialise
 
 KINDS = ("email", "ip", "card", "phone")
@@ -100,6 +102,15 @@ def outside(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[str, int,
             yield m[0].lower(), m.start(), m.end()
 
 
+def generalise(term: str) -> str:
+    """The class of a term: number, code (letters and digits), name (capitalised) or word."""
+    if term.isdigit():
+        return "<NUMBER>"
+    if any(c.isdigit() for c in term):
+        return "<CODE>"
+    return "<NAME>" if term[0].isupper() else "<WORD>"
+
+
 _SPAN = "struct<kind:int,start:long,stop:long>"
 _SPAN_PA = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())]))
 _MORE = "array<struct<kind:string,start:long,stop:long,share:double>>"
@@ -122,8 +133,7 @@ def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
                 bodies.append(t if found else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(spans, _SPAN_PA), pa.array(entities, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.string())), pa.array(bodies, pa.string())], names)
 
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.col(key), F.monotonically_increasing_id().alias("row"), F.xxhash64(F.col(key), body).alias("text_key"), body.alias("__cl_text")).mapInArrow(run, f"`{key}` {kind}, row long, text_key long, spans array<{_SPAN}>, entities array<string>, terms array<string>, body string")
+    return docs.select(F.col(key), F.monotonically_increasing_id().alias("row"), text_key(key, text).alias("text_key"), body_of(text).alias("__cl_text")).mapInArrow(run, f"`{key}` {kind}, row long, text_key binary, spans array<{_SPAN}>, entities array<string>, terms array<string>, body string")
 
 
 def document_frequency(docs: DataFrame, terms: DataFrame, text: str) -> DataFrame:
@@ -161,7 +171,7 @@ def document_frequency(docs: DataFrame, terms: DataFrame, text: str) -> DataFram
                 seen.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
 
-    words = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__cl_text")).mapInArrow(run, "term string, n long")
+    words = docs.select(body_of(text).alias("__cl_text")).mapInArrow(run, "term string, n long")
     return words.groupBy("term").agg(F.sum("n").alias("n_t")).join(terms, "term", "left_semi")
 
 
@@ -172,23 +182,33 @@ def share_of(n_te: Column, n_t: Column, n_e: Column, total: int, z: float) -> Co
     return F.log(low * F.lit(float(total)) / n_e) / F.log(F.lit(float(total)) / n_e)
 
 
+def _alike(rows: DataFrame, what: str) -> DataFrame:
+    """(what, n, one, two): rows that hold it and two digests of which these are. What stands in the same rows is alike."""
+    return rows.groupBy(what).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("one"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("two"))
+
+
 def revealing(docs: DataFrame, scanned: DataFrame, text: str, disclosure: float, z: float) -> DataFrame:
-    """(row, term, share) of the terms that disclose an entity of their document, with the largest share of its entities."""
+    """(row, term, share) of the terms that disclose an entity of their document, with the largest share of its entities.
+
+    Entities that stand in the same documents have equal shares with every term, and so have terms; each such class is counted
+    as one, so a document of very many entities seen nowhere else costs as much as with one.
+    """
     rows = scanned.filter(F.size("spans") > 0)
     total = docs.count()
     held = rows.select("row", F.explode("entities").alias("entity"))
-    n_e = held.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") < total)
+    n_e = _alike(held, "entity").filter(F.col("n") < total)
+    held = held.join(n_e, "entity").select("row", F.struct("n", "one", "two").alias("e")).distinct()
     words = rows.select("row", F.explode("terms").alias("term"))
-    n_t = document_frequency(docs, words.select("term").distinct(), text)
+    alike = materialise(_alike(words, "term"), "terms")
+    alike = alike.join(document_frequency(docs, alike.select("term"), text), "term").select("term", F.struct("n_t", "n", "one", "two").alias("t"))
+    words = materialise(words.join(alike, "term"), "words")
     # no pair of a document is built whose share would be too small even if the two always stood together
-    most = share_of(F.least("n_t", "n_e"), F.col("n_t"), F.col("n_e"), total, z)
-    held = held.join(n_e, "entity").groupBy("row").agg(F.collect_list(F.struct("entity", "n_e")).alias("held"))
-    pairs = words.join(n_t, "term").join(held, "row").select("row", "term", "n_t", F.explode("held").alias("h")).select("row", "term", "n_t", "h.entity", "h.n_e")
-    pairs = materialise(pairs.filter(most >= disclosure), "pairs")
-    share = share_of(F.col("n_te"), F.col("n_t"), F.col("n_e"), total, z)
-    told = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
-    told = told.select("entity", "term", share.alias("share")).filter(F.col("share") >= disclosure)
-    return pairs.select("row", "entity", "term").join(told, ["entity", "term"]).groupBy("row", "term").agg(F.max("share").alias("share"))
+    n_t, n_e = F.col("t.n_t"), F.col("e.n")
+    most = share_of(F.least(n_t, n_e), n_t, n_e, total, z)
+    pairs = materialise(words.select("row", "t").distinct().join(held, "row").filter(most >= disclosure), "pairs")
+    told = pairs.groupBy("e", "t").agg(F.count("*").alias("n_te")).select("e", "t", share_of(F.col("n_te"), n_t, n_e, total, z).alias("share")).filter(F.col("share") >= disclosure)
+    told = pairs.join(told, ["e", "t"]).groupBy("row", "t").agg(F.max("share").alias("share"))
+    return words.join(told, ["row", "t"]).select("row", "term", "share")
 
 
 def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", disclosure: float = 0.8, removal: float = 0.95, z: float = 1.645) -> DataFrame:
@@ -222,11 +242,11 @@ def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with the spans replaced by <EMAIL>, <IP>, <CARD>, <PHONE>, <TERM>, or nothing for removed terms. Other rows and columns stay."""
+    """docs with the spans replaced by <EMAIL>, <IP>, <CARD>, <PHONE> or what ``generalise`` says, or nothing for removed terms. Other rows and columns stay."""
     found = personal_data(docs, key, text, **options).filter(F.size("spans") > 0)
     # equal (key, text) rows have equal spans
     found = found.dropDuplicates(["text_key"]).select(F.col("text_key").alias("__cl_key"), F.col("spans").alias("__cl_spans"))
-    rows = docs.withColumn("__cl_key", F.xxhash64(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    rows = docs.withColumn("__cl_key", text_key(key, text))
 
     @F.pandas_udf("string")
     def replace(texts, spans):
@@ -238,7 +258,7 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", **options
                 if x["start"] < at:  # inside a span already replaced, or reaching over its end
                     at = max(at, x["stop"])
                     continue
-                out += [t[at : x["start"]], "" if x["kind"] == "removed_term" else f"<{x['kind'].upper()}>"]
+                out += [t[at : x["start"]], "" if x["kind"] == "removed_term" else generalise(t[x["start"] : x["stop"]]) if x["kind"] == "term" else f"<{x['kind'].upper()}>"]
                 at = x["stop"]
             return "".join(out) + t[at:]
 

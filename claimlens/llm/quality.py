@@ -11,7 +11,8 @@ The raw model is counted over all documents. The target model is fitted on at mo
 is sent to the workers. k is the number of documents whose weight is at least a
 threshold, put where the labelled classes part best.
 
-Cases: null text counts as empty and has weight 0; repeated rows get equal weight and noise; rows with
+Cases: null text counts as empty; a text without words has weight 0 and is never drawn, as nothing speaks for it; a very long text
+is weighted whole; keys are integers or strings; repeated rows get equal weight and noise; rows with
 a null key are never labelled; labels with a null are ignored, of contradicting
 labels the lower counts; without labelled documents of both classes the threshold is
 0; an empty table gives an empty result; extra columns are ignored.
@@ -23,12 +24,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from claimlens.llm.rows import body_of, text_key
 from claimlens.storage import materialise
 
 BUCKETS = 16_384
@@ -90,7 +92,7 @@ def fit(docs: DataFrame, sampled: dict[int, int], key: str, text: str, buckets:
 
 
 def weights(docs: DataFrame, ratio: np.ndarray, key: str, text: str, seed: int) -> DataFrame:
-    """(key, text_key, n_features, log_weight, gumbel_weight)."""
+    """(key, text_key, n_features, log_weight, gumbel_weight); text_key as of ``rows``."""
     kind = docs.schema[key].dataType.simpleString()
     buckets = len(ratio)
 
@@ -106,14 +108,16 @@ def weights(docs: DataFrame, ratio: np.ndarray, key: str, text: str, seed: int)
             u = (np.array([xxhash.xxh64_intdigest(str(k.as_py()).encode(), seed) >> 11 for k in b.column(0)], float) + 0.5) / 2**53
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(w), pa.array(w - np.log(-np.log(u)))], [key, "text_key", "n_features", "log_weight", "gumbel_weight"])
 
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.col(key), F.xxhash64(F.col(key), body).alias("text_key"), body.alias("__cl_text")).mapInArrow(score, f"`{key}` {kind}, text_key long, n_features long, log_weight double, gumbel_weight double")
+    return docs.select(F.col(key), text_key(key, text).alias("text_key"), body_of(text).alias("__cl_text")).mapInArrow(score, f"`{key}` {kind}, text_key binary, n_features long, log_weight double, gumbel_weight double")
 
 
 def threshold(scored: DataFrame, sampled: dict[int, int], key: str) -> float:
-    """Where the fewest labelled documents stand on the wrong side; of equal places the lowest."""
-    rows = scored.filter(F.col(key).isin(list(sampled))).select(key, "log_weight").collect() if 0 < len(sampled) <= 1000 else _pick(scored, sampled, key)
-    s = sorted({(r[key], r["log_weight"]) for r in rows}, key=lambda r: r[1])
+    """Where the fewest labelled documents stand on the wrong side; of equal places the lowest. Of rows sharing a labelled key the lowest counts."""
+    if not sampled:
+        return 0.0
+    ids = scored.sparkSession.createDataFrame([(k,) for k in sampled], StructType([scored.schema[key]]))  # at most twice the sample
+    rows = scored.join(F.broadcast(ids), key, "left_semi").groupBy(key).agg(F.min("log_weight").alias("log_weight")).collect()
+    s = sorted(((r[key], r["log_weight"]) for r in rows), key=lambda r: r[1])
     y = np.array([sampled[k] for k, _ in s])
     if not len(y) or y.min() == y.max():
         return 0.0
@@ -123,12 +127,6 @@ def threshold(scored: DataFrame, sampled: dict[int, int], key: str) -> float:
     return float((w[i - 1] + w[i]) / 2) if 0 < i < len(w) else float(w[0] if i == 0 else np.nextafter(w[-1], np.inf))
 
 
-def _pick(scored: DataFrame, sampled: dict[int, int], key: str) -> list:
-    spark = scored.sparkSession
-    ids = spark.createDataFrame(pd.DataFrame({key: list(sampled)}, dtype="int64")) if sampled else None
-    return scored.join(F.broadcast(ids), key, "left_semi").select(key, "log_weight").collect() if ids is not None else []
-
-
 def kth_largest(df: DataFrame, column: str, k: int) -> float:
     """The k-th largest double, by grouped counts over ever narrower ranges of at most 4096 cells."""
     d = df.select(F.col(column).alias("x"))
@@ -159,17 +157,18 @@ def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """
     sampled = labelled(labels, key, label, sample)
     scored = materialise(weights(docs, fit(docs, sampled, key, text, buckets), key, text, seed), "weights")
+    worded = scored.filter("n_features > 0")
     if share is None:
-        k = scored.filter(F.col("log_weight") >= F.lit(threshold(scored, sampled, key))).count()
+        k = worded.filter(F.col("log_weight") >= F.lit(threshold(scored, sampled, key))).count()
     else:
-        k = int(round(share * scored.count()))
+        k = min(int(round(share * scored.count())), worded.count())
     if k == 0:
         return scored.withColumn("kept", F.lit(False))
-    return scored.withColumn("kept", F.col("gumbel_weight") >= F.lit(kth_largest(scored, "gumbel_weight", k)))
+    return scored.withColumn("kept", (F.col("n_features") > 0) & (F.col("gumbel_weight") >= F.lit(kth_largest(worded, "gumbel_weight", k))))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs that are drawn, with all their columns."""
     kept = resample(docs, labels, key, text, **options).filter("kept").select(F.col("text_key").alias("__cl_key"))
-    rows = docs.withColumn("__cl_key", F.xxhash64(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    rows = docs.withColumn("__cl_key", text_key(key, text))
     return rows.join(kept, "__cl_key", "left_semi").select(docs.columns)

@@ -18,7 +18,7 @@ def op2_url_filter(spark, sf_dir):
 
 def op3_simhash(spark, sf_dir):
     ship_package(spark)
-    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op4_exact_dedup(spark, sf_dir):

@@ -18,7 +18,7 @@ cell of its own, so no task holds more than two chunks of an anchor. A cell send
 forest, never all its pairs.
 
 Cases: null text counts as empty; texts without words have fingerprint zero and
-are linked like others; repeated rows share a class; a class whose
+are linked like others; a very long text is read in blocks of shingle hashes; repeated rows share a class; a class whose
 keys are all null has a null id; an empty table gives an empty result; extra columns
 are ignored.
 """
@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.llm.components import connected_components
+from claimlens.llm.rows import body_of
 from claimlens.storage import materialise
 
 SEED = 42
@@ -71,16 +72,15 @@ def fingerprint(text: bytes, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """(key, text_key, fp): one row per document; text_key is a hash of key and text for joining rows back."""
+    """(key, fp): one row per document."""
     kind = docs.schema[key].dataType.simpleString()
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), words) for t in b.column(2)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], [key, "text_key", "fp"])
+            fp = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], [key, "fp"])
 
-    return docs.select(F.col(key), F.xxhash64(F.col(key), body).alias("text_key"), body.cast("binary").alias("__cl_text")).mapInArrow(run, f"`{key}` {kind}, text_key long, fp long")
+    return docs.select(F.col(key), body_of(text).cast("binary").alias("__cl_text")).mapInArrow(run, f"`{key}` {kind}, fp long")
 
 
 def _masks(reach: int) -> list[np.ndarray]:
@@ -193,11 +193,11 @@ def links(points: DataFrame, threshold: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, threshold: int = 3) -> DataFrame:
-    """(key, text_key, fingerprint, component_id) of every row; component_id is the smallest key reachable over links."""
+    """(key, fingerprint, component_id) of every row; component_id is the smallest key reachable over links."""
     prints = materialise(fingerprints(docs, key, text, words), "fingerprints")
     points = materialise(prints.groupBy("fp").agg(F.min(key).alias("low")), "points")
     roots = connected_components(links(points, threshold)).select(F.col("node").alias("fp"), "root")
     points = materialise(points.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "roots")
     least = points.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = points.join(least, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(key, "text_key", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(classes, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

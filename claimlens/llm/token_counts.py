@@ -4,7 +4,7 @@ Documents are aggregated by encoded length; suffix sums over the distinct
 lengths then answer, for every context limit at once, how many documents are
 longer, how many tokens they hold and how many tokens survive truncation.
 
-Cases: null text counts as empty (length 0); empty texts have length 0; ties
+Cases: a very long text is encoded whole; null text counts as empty (length 0); empty texts have length 0; ties
 and repeated rows each count; an empty table gives an empty histogram; extra
 columns are ignored.
 """
@@ -26,7 +26,7 @@ def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str | None
     path = vocabulary or default_path("byte_bpe_50k.json")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = json_vocabulary_encoder(path, added=True)
+        encode = json_vocabulary_encoder(path)
         for b in batches:
             sizes: dict[int, int] = {}
             for t in b.column(0):
@@ -48,9 +48,8 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     docs_at_least per token, so the table answers any limit.
 
     Two levels: sums inside blocks of lengths, offsets over the few blocks, so
-    no task holds the histogram of all lengths. The blocks are half octaves
-    (two per doubling, at most 126 for any 64-bit length), and lengths
-    in the long octaves are cut further into 4096 equal parts. The histogram is
+    no task holds the histogram of all lengths. A block is 1024 lengths or a 64th of its octave, if that
+    is more. The histogram is
     written once, as both levels read it and each would encode all texts again.
     """
     hist = materialise(hist, "histogram")

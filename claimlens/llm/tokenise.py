@@ -24,12 +24,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=4)
-def json_vocabulary_encoder(path: str, added: bool = False):
+def json_vocabulary_encoder(path: str):
     """Encoder of a byte-level BPE .json vocabulary, as ``text -> list of ids``.
 
-    The ids are those of the ``tokenizers`` library with add_special_tokens=False; with ``added``, the vocabulary's
-    added tokens standing in a text get their own ids, as by that library's default flags, and without it they are
-    text like any other (encode_special_tokens=True). The ids are computed with the rank-merging
+    The ids are those of the ``tokenizers`` library with add_special_tokens=False: the vocabulary's added tokens
+    standing in a text get their own ids. They are computed with the rank-merging
     library, which is eight times faster on one core here and
     gives the same ids (tests hold one against the other): the ranks are the
     vocabulary's ids, the split is its pre-tokenizer's.
@@ -44,9 +43,9 @@ def json_vocabulary_encoder(path: str, added: bool = False):
     special = {t["content"]: t["id"] for t in extra}
     char_to_byte = _byte_alphabet()
     ranks = {bytes(char_to_byte[c] for c in tok): i for tok, i in spec["model"]["vocab"].items() if tok not in special}
-    encoding = tiktoken.Encoding("json_vocabulary", pat_str=pattern(), mergeable_ranks=ranks, special_tokens=special if added else {})
+    encoding = tiktoken.Encoding("json_vocabulary", pat_str=pattern(), mergeable_ranks=ranks, special_tokens=special)
     plain = encoding.encode_ordinary
-    if not added or not special:
+    if not special:
         return plain
     names = list(special)
     if any(t[k] for t in extra for k in ("single_word", "lstrip", "rstrip")) or any(a != b and a in b for a in names for b in names):

@@ -11,7 +11,8 @@ prefixes of the lengths that occur among the rules. The longest confirmed rule
 wins; without one the verdict is the filter's default.
 
 Cases: null urls and urls without ``://`` have empty host and path and get
-the default; a repeated url is judged each time; an empty table
+the default; keys of any type pass unchanged, null ones too; a repeated url is judged each time; of rules given twice with both
+verdicts blocking wins; a very long url costs one probe per label and rule length; an empty table
 gives an empty result; extra columns are ignored.
 """
 
@@ -24,7 +25,7 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -114,10 +115,10 @@ def filter_urls(urls: DataFrame, rules: Iterable[tuple[str, str, str]], key: str
     _ship(spark, rules, name)
     parts = urls.select(F.col(key).alias(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
 
-    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         array = DigestArray(SparkFiles.get(name))
-        for f in frames:
-            lists = [candidates_of(h, p, array.path_lengths) for h, p in zip(f["host"], f["path"])]
+        for b in batches:
+            lists = [candidates_of(h, p, array.path_lengths) for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             flat = [c for cs in lists for c in cs]
             found = array.probe(flat)
             rule, verdict, at = [], [], 0
@@ -126,10 +127,10 @@ def filter_urls(urls: DataFrame, rules: Iterable[tuple[str, str, str]], key: str
                 at += len(cs)
                 rule.append(None if hit is None else array.string(hit).decode())
                 verdict.append(default if hit is None else "block" if array.block[hit] else "allow")
-            yield f.assign(rule=pd.Series(rule, dtype="object", index=f.index), verdict=pd.Series(verdict, dtype="object", index=f.index))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], [key, "host", "path", "rule", "verdict"])
 
     kind = parts.schema[key].dataType.simpleString()
-    return parts.mapInPandas(judge, f"`{key}` {kind}, host string, path string, rule string, verdict string")
+    return parts.mapInArrow(judge, f"`{key}` {kind}, host string, path string, rule string, verdict string")
 
 
 def _ship(spark: SparkSession, rules: list, name: str) -> None:

@@ -20,7 +20,7 @@ def texts(tokens):
 
 
 def test_default_flags():
-    whole, enc = Tokenizer.from_file(PATH), json_vocabulary_encoder(PATH, added=True)
+    whole, enc = Tokenizer.from_file(PATH), json_vocabulary_encoder(PATH)
     for t in texts(["<|endoftext|>"] * 3):
         assert enc(t) == whole.encode(t, add_special_tokens=False).ids
     assert enc("x <|endoftext|> y") == [87, 220, 50256, 331]
@@ -34,7 +34,7 @@ def test_tokens_with_flags(tmp_path, flags):
     spec["added_tokens"].append(spec["added_tokens"][0] | {"id": 50257, "content": "<|end"})
     path = tmp_path / "v.json"
     path.write_text(json.dumps(spec), encoding="utf-8")
-    whole, enc = Tokenizer.from_file(str(path)), json_vocabulary_encoder(str(path), added=True)
+    whole, enc = Tokenizer.from_file(str(path)), json_vocabulary_encoder(str(path))
     for t in texts(["<|endoftext|>", "<|end"]):
         assert enc(t) == whole.encode(t, add_special_tokens=False).ids
 

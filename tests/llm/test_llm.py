@@ -67,7 +67,6 @@ def test_same_ids_as_the_tokenizers_library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     enc = json_vocabulary_encoder(default_path("byte_bpe_50k.json"))
     rng = random.Random(4)
     for s in [r[1] or "" for r in corpus()] + ["".join(rng.choice("ab C'séñ 日🙂\n\t12.!<|endoftext|> ") for _ in range(50)) for _ in range(500)] + ["<|endoftext|> x"]:
