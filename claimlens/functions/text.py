@@ -131,6 +131,48 @@ def surname(c: Column) -> Column:
     return F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 2, F.size(parts)), " ")).otherwise(c)
 
 
+def surname_forms_of(name: str, least: int = 1) -> list[str]:
+    """All after the first name, lower-cased without accents, and the same with hyphens as spaces; forms shorter than ``least`` are left out."""
+    flat = name.strip().lower().translate(str.maketrans(ACCENTED, PLAIN))
+    last = flat.split(maxsplit=1)[-1] if flat else ""
+    return [f for f in dict.fromkeys((last, last.replace("-", " "))) if len(f) >= least]
+
+
+def figures_with_scale(c: Column) -> Column:
+    """array<struct<figure, scale>>: every figure, digit groups joined, with the first scale word of the 40 characters behind it."""
+    joined = F.regexp_replace(c, "(?<=\\d)[\\s\u00a0\u202f](?=\\d)", "")
+    pattern = F.lit(r"(?s)(\d+(?:[.,]\d+)?)(?=(.{0,40}))")
+    scale = lambda t: F.lower(F.regexp_extract(t, r"(?i)\b(milliards?|millions?|milliers?|%)\b", 1))
+    return F.zip_with(F.regexp_extract_all(joined, pattern, 1), F.regexp_extract_all(joined, pattern, 2), lambda f, t: F.struct(F.translate(f, ",", ".").alias("figure"), scale(t).alias("scale")))
+
+
+def domain_rank(url: Column, entries: list[tuple[str, int]]) -> Column:
+    """Best rank of the entries a url falls under: a path entry by prefix, a host entry by itself or its subdomains. Entries are a short fixed list."""
+    ref = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(url), "^https?://", ""), r"^www\.", ""), "/+$", "")
+    host = F.substring_index(ref, "/", 1)
+    fits = lambda e: (ref == e) | ref.startswith(e + "/") if "/" in e else (host == e) | host.endswith("." + e)
+    return F.array_min(F.array(*[F.when(fits(e), r) for e, r in entries]))
+
+
+def inline_refs(schema: dict) -> dict:
+    """A JSON schema with every ``#/$defs`` reference replaced by what it names; recursive definitions are an error."""
+
+    def walk(node, open_names: tuple = ()):
+        if isinstance(node, list):
+            return [walk(x, open_names) for x in node]
+        if not isinstance(node, dict):
+            return node
+        name = node.get("$ref", "").removeprefix("#/$defs/")
+        if name:
+            if name in open_names:
+                raise ValueError(f"recursive definition {name}")
+            rest = {k: v for k, v in node.items() if k != "$ref"}
+            return walk(schema["$defs"][name] | rest, (*open_names, name))
+        return {k: walk(v, open_names) for k, v in node.items() if k != "$defs"}
+
+    return walk(schema)
+
+
 def model_json(c: Column) -> Column:
     """The outermost braces after any reasoning section."""
     body = F.element_at(F.split(c, "</think>"), -1)

@@ -17,9 +17,9 @@ def gate(statements: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def quotes_kept(statements: DataFrame) -> DataFrame:
-    """sources: array of (quote, quote_verified, rank). No verified quote: unverified. Adds rank, the least of kept sources."""
+    """sources: array of (quote, quote_verified, rank). No verified quote: unverified, confidence at most 0.3. Adds rank, the least of kept sources."""
     s = statements.withColumn("sources", F.filter("sources", lambda x: x["quote_verified"]))
-    return s.withColumn("rank", F.array_min(F.transform("sources", lambda x: x["rank"]))).withColumn("verdict", F.when(F.size("sources") == 0, "unverified").otherwise(F.col("verdict")))
+    return s.withColumn("rank", F.array_min(F.transform("sources", lambda x: x["rank"]))).withColumns({"verdict": F.when(F.size("sources") == 0, "unverified").otherwise(F.col("verdict")), "confidence": F.when(F.size("sources") == 0, _weak()).otherwise(F.col("confidence"))})
 
 
 def rank_cap(statements: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ BARS = "CASE WHEN v NOT IN ('exact', 'approximate', 'false') THEN v WHEN gap <=
 
 
 @query(f"""WITH c AS ({CASES}), g AS (SELECT *, CASE WHEN agreement = 'divergent' THEN 'unverified' ELSE verdict END AS v0, CASE WHEN agreement = 'divergent' THEN 0.0 ELSE confidence END AS c0 FROM c),
- q AS (SELECT *, CASE WHEN NOT quoted THEN 'unverified' ELSE v0 END AS v1 FROM g), r AS (SELECT *, CASE WHEN v1 = 'false' AND rank <> 1 THEN 'unverified' ELSE v1 END AS v FROM q),
+ q AS (SELECT * EXCLUDE (c0), CASE WHEN NOT quoted THEN 'unverified' ELSE v0 END AS v1, CASE WHEN NOT quoted THEN least(c0, 0.3) ELSE c0 END AS c0 FROM g), r AS (SELECT *, CASE WHEN v1 = 'false' AND rank <> 1 THEN 'unverified' ELSE v1 END AS v FROM q),
  t AS (SELECT *, {BARS} AS w, CASE WHEN v = 'exact' AND gap > 1.0 THEN least(c0, 0.3) ELSE c0 END AS c1 FROM r)
  SELECT verdict, confidence, count(*) AS n FROM (SELECT CASE WHEN w = 'false' AND NOT corroborated THEN 'unverified' ELSE w END AS verdict, CASE WHEN w = 'false' AND NOT corroborated THEN least(c1, 0.3) ELSE c1 END::DOUBLE AS confidence FROM t) z GROUP BY 1, 2""")
 def guardrail_chain(spark, d):
@@ -279,11 +279,14 @@ def sentence_split(spark, d):
 _STOP = ", ".join(f"'{w}'" for w in T.CLAIM_STOPWORDS)
 
 
-@query(f"""SELECT md5(array_to_string(list_filter(regexp_extract_all(lower(translate(text, '{T.ACCENTED}', '{T.PLAIN}')), '[a-z0-9]+(?:[.,][0-9]+)?'), lambda t: t NOT IN ({_STOP})), ' ')) AS claim_key, count(*) AS n, min(doc_id) AS first
- FROM documents WHERE NOT regexp_matches(text, '[0-9][\\s ][0-9]') GROUP BY 1 HAVING count(*) > 1""")
+# digit groups are joined without lookaround: one pass joins every second gap, so a second one joins the rest
+_JOIN = "regexp_replace({}, '([0-9])[\\s\u00a0\u202f]([0-9])', '\\1\\2', 'g')"
+
+
+@query(f"""SELECT md5(array_to_string(list_filter(regexp_extract_all({_JOIN.format(_JOIN.format(f"lower(translate(text, '{T.ACCENTED}', '{T.PLAIN}'))"))}, '[a-z0-9]+(?:[.,][0-9]+)?'), lambda t: t NOT IN ({_STOP})), ' ')) AS claim_key, count(*) AS n, min(doc_id) AS first
+ FROM documents GROUP BY 1 HAVING count(*) > 1""")
 def repeated_claims(spark, d):
-    docs = table(spark, d, "documents").filter(~F.col("text").rlike(r"[0-9][\s ][0-9]"))
-    return docs.groupBy(F.md5(T.claim_key(F.col("text"))).alias("claim_key")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
+    return table(spark, d, "documents").groupBy(F.md5(T.claim_key(F.col("text"))).alias("claim_key")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
 
 
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '[0-9]{7,}')) AS n FROM documents WHERE regexp_matches(text, '[0-9]{7,}')")
@@ -328,11 +331,7 @@ RANKS = [("example.org", 1), ("m.example.com", 2), ("example.net/en", 2), ("exam
 @query(f"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(lower(url), '^https?://', ''), '^www\\.', '') AS ref FROM pages), e(entry, rank) AS (VALUES {', '.join(map(str, RANKS))})
  SELECT page_id, (SELECT min(rank) FROM e WHERE CASE WHEN contains(entry, '/') THEN rtrim(ref, '/') = entry OR starts_with(ref, entry || '/') ELSE split_part(ref, '/', 1) = entry OR ends_with(split_part(ref, '/', 1), '.' || entry) END) AS rank FROM p""")
 def domain_rank(spark, d):
-    """Ranks are a short fixed list, so they are literals of the expression: no join at all."""
-    ref = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower("url"), "^https?://", ""), r"^www\.", ""), "/+$", "")
-    host = F.substring_index(ref, "/", 1)
-    fits = lambda e: (ref == e) | ref.startswith(e + "/") if "/" in e else (host == e) | host.endswith("." + e)
-    return table(spark, d, "pages").select("page_id", F.array_min(F.array(*[F.when(fits(e), r) for e, r in RANKS])).alias("rank"))
+    return table(spark, d, "pages").select("page_id", T.domain_rank(F.col("url"), RANKS).alias("rank"))
 
 
 @query("SELECT item_id, (SELECT min(doc_id) FROM documents d WHERE contains(trim(regexp_replace(lower(d.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(b.text), '\\s+', ' ', 'g')))) AS source_id FROM benchmark b WHERE length(text) >= 12")
@@ -354,20 +353,15 @@ def json_props(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.from_json("props", "k bigint")["k"]).alias("k"))
 
 
-@query("SELECT lang, count(*) AS blocks, sum(length(text))::BIGINT AS characters, max(n_chars) AS longest FROM documents GROUP BY 1")
-def transcript_size(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("blocks"), F.sum(F.length("text")).alias("characters"), F.max("n_chars").alias("longest"))
-
-
 # ---- gold comparison and sets
 
 GOLD = "SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'exact' WHEN toxic = 1 THEN 'false' ELSE 'approximate' END AS verdict FROM labels"
-MADE = "SELECT doc_id AS id, CASE WHEN n_chars > 2000 THEN 'exact' WHEN n_chars > 1000 THEN 'approximate' ELSE 'false' END AS verdict FROM documents WHERE doc_id % 3 <> 0"
+MADE = "SELECT doc_id AS id, CASE WHEN n_chars > 2000 THEN 'exact' WHEN n_chars > 1000 THEN 'approximate' ELSE 'false' END AS verdict FROM documents"
 
 
 def gold_tables(spark, d):
     g = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "exact").when(F.col("toxic") == 1, "false").otherwise("approximate").alias("verdict"))
-    m = table(spark, d, "documents").filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), F.when(F.col("n_chars") > 2000, "exact").when(F.col("n_chars") > 1000, "approximate").otherwise("false").alias("verdict"))
+    m = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("n_chars") > 2000, "exact").when(F.col("n_chars") > 1000, "approximate").otherwise("false").alias("verdict"))
     return g, m
 
 
@@ -378,10 +372,10 @@ def gold_compare(spark, d):
     return A.gold_compare(*gold_tables(spark, d))
 
 
-@query(f"SELECT id, 'gold' AS side FROM (SELECT id FROM ({GOLD}) EXCEPT SELECT id FROM ({MADE})) UNION ALL SELECT id, 'both' FROM (SELECT id FROM ({GOLD}) INTERSECT SELECT id FROM ({MADE}))")
+@query(f"SELECT id, 'gold' AS side FROM (SELECT id FROM ({GOLD}) EXCEPT SELECT id FROM ({MADE})) UNION ALL SELECT id, 'both' FROM (SELECT id FROM ({GOLD}) INTERSECT SELECT id FROM ({MADE})) UNION ALL SELECT id, 'made' FROM (SELECT id FROM ({MADE}) EXCEPT SELECT id FROM ({GOLD}))")
 def only_in_reference(spark, d):
     g, m = (x.select("id") for x in gold_tables(spark, d))
-    return g.subtract(m).withColumn("side", F.lit("gold")).unionByName(g.intersect(m).withColumn("side", F.lit("both")))
+    return g.subtract(m).withColumn("side", F.lit("gold")).unionByName(g.intersect(m).withColumn("side", F.lit("both"))).unionByName(m.subtract(g).withColumn("side", F.lit("made")))
 
 
 @query("SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2")
@@ -598,14 +592,6 @@ def consensus(spark, d):
 
 # ---- dossiers, clips, briefs
 
-@query("SELECT n_name, count(*) FILTER (p_size < 17) AS small, count(*) FILTER (p_size >= 17 AND p_size < 34) AS medium, count(*) FILTER (p_size >= 34) AS large FROM nation JOIN supplier ON s_nationkey = n_nationkey JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) l ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey GROUP BY 1")
-def dossier_coverage(spark, d):
-    l = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()  # noqa: E741
-    size = F.when(F.col("p_size") < 17, "small").when(F.col("p_size") < 34, "medium").otherwise("large")
-    j = l.join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), size.alias("section")), "l_partkey").join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey")), "l_suppkey").join(table(spark, d, "nation"), "n_nationkey")
-    return j.groupBy("n_name").pivot("section", ["small", "medium", "large"]).count().na.fill(0)
-
-
 @query("SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS n FROM lineitem) q WHERE n <= 5")
 def top_clips(spark, d):
     w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_quantity"), "l_linenumber")
@@ -618,16 +604,6 @@ def dominant_speaker(spark, d):
     return A.dominant(r, ["l_orderkey"], "who", "q")
 
 
-@query("SELECT p_partkey FROM (SELECT p_partkey, count(*) OVER (PARTITION BY p_brand, p_type, p_size) AS n FROM part) q WHERE n = 1")
-def name_unique(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.count("*").over(Window.partitionBy("p_brand", "p_type", "p_size")).alias("n")).filter("n = 1").select("p_partkey")
-
-
-@query("SELECT l_suppkey, CASE WHEN count(*) FILTER (l_quantity > 5) < 3 THEN '' WHEN count(DISTINCT l_returnflag) > 1 THEN 'several' ELSE min(l_returnflag) END AS confirmed FROM lineitem GROUP BY 1")
-def confirmation(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.when(F.count_if(F.col("l_quantity") > 5) < 3, "").when(F.count_distinct("l_returnflag") > 1, "several").otherwise(F.min("l_returnflag")).alias("confirmed"))
-
-
 FORMS = [("housing", "logement"), ("money", "milliard"), ("money", "euro"), ("record", "record")]
 DOMAINS = [("housing", "land"), ("money", "budget"), ("money", "debt"), ("record", "nowhere")]
 KEYS = [("land", "k3"), ("land", "k4"), ("budget", "k1"), ("budget", "k2"), ("debt", "k0")]
@@ -670,3 +646,6 @@ def speaker_counters(spark, d):
 def windowed_events(spark, d):
     """Extension: daily counts; the streaming form takes the same expression with a watermark."""
     return table(spark, d, "events").groupBy(F.date_trunc("day", "ts").alias("start"), "event_type").agg(F.count("*").alias("n")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+from claimlens import queries_speech as _speech  # noqa: E402, F401  (registers its queries here)

@@ -15,7 +15,7 @@ from claimlens.streaming.ledger import ledger_stream
 
 
 def read(s):
-    return [(q["kind"], q["value"]) for q in N.Scanner(s).quantities()]
+    return [(q["kind"], q["value"]) for q in N.read_quantities(s)]
 
 
 @pytest.mark.parametrize(
