@@ -79,50 +79,69 @@ def greedy_nearest(left: DataFrame, right: DataFrame, group: str, reach: float =
     return u.groupBy(group, "run").applyInPandas(match, f"left_id {kind}, right_id {kind}")
 
 
-def containment(quotes: DataFrame, sources: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
+def containment(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     """(item_id, source_id): the first source whose flattened text contains the flattened quote; null if none.
 
-    quotes: item_id, flat; sources: source_id, flat. Up to ``limit`` quotes (``rows`` of them) are sent to all tasks; beyond it a quote
-    meets only sources that hold its first word pair.
+    quotes: item_id, flat; sources: source_id, flat. A quote of four words or more may begin inside a word, but its second and third words are
+    whole: it meets the sources that hold that word pair, and only these are searched. Shorter quotes are searched in every source.
     """
-    if rows <= limit:
-        hits = sources.alias("s").join(F.broadcast(quotes.alias("q")), F.col("s.flat").contains(F.col("q.flat")))
-    else:
-        key = lambda a, i: F.concat_ws(" ", F.element_at(a, i), F.element_at(a, i + 1))
-        qa = F.split("flat", " ")
-        # the quote may begin inside a word: its second and third words are whole
-        q = quotes.withColumn("k", F.when(F.size(qa) >= 4, key(qa, 2)))
-        w = F.split("flat", " ")
-        s = sources.withColumn("k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i))))))
-        hits = s.alias("s").join(q.alias("q"), F.expr("s.k = q.k and contains(s.flat, q.flat)"))
-        short = quotes.filter(F.size(F.split("flat", " ")) < 4)
-        hits = hits.select("q.item_id", "s.source_id").unionByName(sources.alias("s").join(short.alias("q"), F.col("s.flat").contains(F.col("q.flat"))).select("q.item_id", "s.source_id"))
-        return quotes.select("item_id").join(hits.groupBy("item_id").agg(F.min("source_id").alias("source_id")), "item_id", "left")
-    first = hits.groupBy("q.item_id").agg(F.min("s.source_id").alias("source_id"))
-    return quotes.select("item_id").join(first, "item_id", "left")
+    pair = lambda a, i: F.concat_ws(" ", F.get(a, i), F.get(a, i + 1))
+    w = F.split("flat", " ")
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: pair(w, i)))
+    held = sources.select("source_id", F.explode(pairs).alias("k"))
+    long, short = quotes.filter(F.size(w) >= 4), quotes.filter(F.size(w) < 4)
+    near = held.join(long.select("item_id", pair(w, F.lit(1)).alias("k")), "k").select("source_id", "item_id").distinct()
+    text = lambda df, name: df.withColumnRenamed("flat", name)
+    hits = near.join(text(long, "q"), "item_id").join(text(sources, "s"), "source_id").filter(F.col("s").contains(F.col("q"))).select("item_id", "source_id")
+    if short.limit(1).count():
+        hits = hits.unionByName(text(sources, "s").join(text(short, "q"), F.col("s").contains(F.col("q"))).select("item_id", "source_id"))
+    return quotes.select("item_id").join(hits.groupBy("item_id").agg(F.min("source_id").alias("source_id")), "item_id", "left")
 
 
 def keyword_terms(claims: DataFrame, forms: DataFrame, key: str, flat: str) -> DataFrame:
-    """(key, term): terms one of whose forms begins at a word of the text. forms is a glossary: term, form."""
-    starts = F.concat(F.lit(" "), F.col("form"))
+    """(key, term): terms one of whose forms begins at a word of the text. forms: term, form.
+
+    Texts and forms meet by the letters of the shortest form's length at a word's beginning.
+    """
+    least = forms.agg(F.min(F.length("form"))).first()[0] or 1
     text = F.concat(F.lit(" "), F.regexp_replace(F.col(flat), r"(?U)[^\w]+", " "))
-    return claims.withColumn("__t", text).join(F.broadcast(forms), F.col("__t").contains(starts)).select(key, "term").distinct()
+    starts = F.array_distinct(F.regexp_extract_all("__t", F.lit(f"(?<= )(?=(.{{{least}}}))"), 1))
+    keyed = claims.select(key, text.alias("__t")).select(key, "__t", F.explode(starts).alias("__k"))
+    return keyed.join(forms.withColumn("__k", F.substring("form", 1, least)), "__k").filter(F.col("__t").contains(F.concat(F.lit(" "), F.col("form")))).select(key, "term").distinct()
+
+
+def _print_blocks(prints: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """(block, prints) with at most about ``block`` prints an array, and the number of blocks."""
+    n = max(1, -(-prints.count() // block))
+    return prints.groupBy(F.pmod(F.xxhash64("speaker_id"), F.lit(n)).alias("__b")).agg(F.collect_list(F.struct("speaker_id", "centroid")).alias("prints")), n
 
 
-def identify(rows: DataFrame, prints: DataFrame, key: str, vector: str, threshold: float = 0.62, margin: float = 0.06) -> DataFrame:
-    """(key, speaker_id, similarity, runner_up, reason): top-1 cosine with rejection. prints: speaker_id, centroid (a small register)."""
-    p = F.broadcast(prints.agg(F.collect_list(F.struct("speaker_id", "centroid")).alias("prints")))
-    scored = rows.select(key, F.col(vector).alias("v")).join(p).withColumn("s", F.array_sort(F.transform("prints", lambda x: F.struct((-cosine(F.col("v"), x["centroid"])).alias("n"), x["speaker_id"].alias("id")))))
+def _against(rows: DataFrame, blocks: DataFrame, n: int) -> DataFrame:
+    return rows.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))).join(blocks, "__b")
+
+
+def identify(rows: DataFrame, prints: DataFrame, key: str, vector: str, threshold: float = 0.62, margin: float = 0.06, block: int = 1024) -> DataFrame:
+    """(key, speaker_id, similarity, runner_up, reason): top-1 cosine with rejection. prints: speaker_id, centroid.
+
+    The register is cut into blocks of about ``block`` prints; each gives its two nearest, of which the two nearest of all are taken.
+    """
+    blocks, n = _print_blocks(prints, block)
+    near = F.array_sort(F.transform("prints", lambda x: F.struct((-cosine(F.col("v"), x["centroid"])).alias("n"), x["speaker_id"].alias("id"))))
+    own = rows.select(key, F.col(vector).alias("v"))
+    two = _against(own, blocks, n).select(key, F.slice(near, 1, 2).alias("s"))
+    s = two.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("s")) if n > 1 else two
+    scored = own.select(key).join(s, key, "left")
+    found = F.coalesce(F.size("s"), F.lit(0))
     best, second = -F.get("s", F.lit(0))["n"], F.coalesce(-F.get("s", F.lit(1))["n"], F.lit(0.0))
-    reason = F.when(F.size("prints") == 0, "no prints").when(best < threshold, "below threshold").when((F.size("prints") > 1) & (best - second < margin), "margin").otherwise("accepted")
+    reason = F.when(found <= 0, "no prints").when(best < threshold, "below threshold").when((found > 1) & (best - second < margin), "margin").otherwise("accepted")
     return scored.select(key, F.when(reason == "accepted", F.get("s", F.lit(0))["id"]).alias("speaker_id"), best.alias("similarity"), second.alias("runner_up"), reason.alias("reason"))
 
 
-def separated(prints: DataFrame, threshold: float = 0.50) -> DataFrame:
-    """Prints without any that is more similar than the threshold; both of a close pair go."""
-    a, b = prints.select(F.col("speaker_id").alias("a"), F.col("centroid").alias("x")), prints.select(F.col("speaker_id").alias("b"), F.col("centroid").alias("y"))
-    close = a.join(b, F.col("a") < F.col("b")).filter(cosine(F.col("x"), F.col("y")) > threshold)
-    gone = close.select(F.col("a").alias("speaker_id")).union(close.select("b")).distinct()
+def separated(prints: DataFrame, threshold: float = 0.50, block: int = 1024) -> DataFrame:
+    """Prints without any that is more similar than the threshold; both of a close pair go. Every print meets every block, not every other row."""
+    blocks, n = _print_blocks(prints, block)
+    close = F.exists("prints", lambda x: (x["speaker_id"] != F.col("speaker_id")) & (cosine(F.col("centroid"), x["centroid"]) > threshold))
+    gone = _against(prints.select("speaker_id", "centroid"), blocks, n).filter(close).select("speaker_id").distinct()
     return prints.join(gone, "speaker_id", "left_anti")
 
 

@@ -9,6 +9,7 @@ from claimlens.functions.text import normalise, sentences
 from claimlens.functions.triggers import deserves_verification, triggers
 from claimlens.operators.aggregates import consensus, majority_identity
 from claimlens.operators.joins import best_overlap, identify, keyword_terms
+from claimlens.storage import materialise
 
 
 def split_statements(blocks: DataFrame, by: str) -> DataFrame:
@@ -27,11 +28,11 @@ def stage0(statements: DataFrame) -> DataFrame:
 
 def compose_brief(claims: DataFrame, forms: DataFrame, term_domains: DataFrame, sources: DataFrame, measures: DataFrame, key: str = "statement_id", most: int = 3) -> DataFrame:
     """(key, domains, source_keys, terms, trap). term_domains: term, domain; sources: domain, source_key; measures: term, measure."""
-    hits = keyword_terms(claims.select(key, normalise(F.col("text")).alias("flat")), forms, key, "flat")
+    hits = materialise(keyword_terms(claims.select(key, normalise(F.col("text")).alias("flat")), forms, key, "flat"), "hits")
     traps = measures.groupBy("term").agg((F.count("*") > 1).alias("trap"))
-    t = hits.join(F.broadcast(traps), "term", "left").groupBy(key).agg(F.array_sort(F.collect_set("term")).alias("terms"), F.coalesce(F.bool_or("trap"), F.lit(False)).alias("trap"))
-    d = hits.join(F.broadcast(term_domains), "term").join(F.broadcast(sources.select("domain").distinct()), "domain", "left_semi").select(key, "domain").distinct()
-    k = d.join(F.broadcast(sources), "domain").groupBy(key).agg(F.array_sort(F.collect_set("domain")).alias("domains"), F.slice(F.array_sort(F.collect_set("source_key")), 1, most).alias("source_keys"))
+    t = hits.join(traps, "term", "left").groupBy(key).agg(F.array_sort(F.collect_set("term")).alias("terms"), F.coalesce(F.bool_or("trap"), F.lit(False)).alias("trap"))
+    d = hits.join(term_domains, "term").join(sources.select("domain").distinct(), "domain", "left_semi").select(key, "domain").distinct()
+    k = d.join(sources, "domain").groupBy(key).agg(F.array_sort(F.collect_set("domain")).alias("domains"), F.slice(F.array_sort(F.collect_set("source_key")), 1, most).alias("source_keys"))
     none = F.array().cast("array<string>")
     return claims.select(key).join(t, key, "left").join(k, key, "left").select(key, F.coalesce("domains", none).alias("domains"), F.coalesce("source_keys", none).alias("source_keys"), F.coalesce("terms", none).alias("terms"), F.coalesce("trap", F.lit(False)).alias("trap"))
 
@@ -45,10 +46,18 @@ def attribute(windows: DataFrame, prints: DataFrame, overlapped: DataFrame, capt
 
 
 def staleness(claims: DataFrame, series: DataFrame) -> DataFrame:
-    """claims: claim_id, measure, at; series: measure, vintage, value. The value of then and the current one."""
-    then = claims.join(series, "measure").filter(F.col("vintage") <= F.col("at")).groupBy("claim_id").agg(F.max_by("value", "vintage").alias("value_then"), F.max("vintage").alias("vintage_then"))
+    """claims: claim_id, measure, at; series: measure, vintage, value. The value of then and the current one.
+
+    Claims and vintages of a measure are sorted together once and each claim takes the last vintage before it, so none meets all vintages.
+    """
+    none = lambda c, df: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    asks = claims.select("measure", "claim_id", F.col("at").alias("t"), none("value", series), none("vintage", series), F.lit(1).alias("asks"))
+    known = series.filter("vintage is not null").select("measure", none("claim_id", claims), F.col("vintage").alias("t"), "value", "vintage", F.lit(0).alias("asks"))
+    w = Window.partitionBy("measure").orderBy("t", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    then = F.last(F.when(F.col("asks") == 0, F.struct("value", "vintage")), True).over(w)
+    u = asks.unionByName(known).withColumn("then", then).filter("asks = 1").select("claim_id", F.col("then.value").alias("value_then"), F.col("then.vintage").alias("vintage_then"))
     now = series.groupBy("measure").agg(F.max_by("value", "vintage").alias("value_now"), F.max("vintage").alias("vintage_now"))
-    return claims.join(then, "claim_id", "left").join(now, "measure", "left").withColumn("outdated", F.coalesce(F.col("value_then") != F.col("value_now"), F.lit(False)))
+    return claims.join(u, "claim_id", "left").join(now, "measure", "left").withColumn("outdated", F.coalesce(F.col("value_then") != F.col("value_now"), F.lit(False)))
 
 
 def arbitrate(readings: DataFrame, least: int = 2) -> DataFrame:

@@ -17,7 +17,7 @@ from claimlens.operators import guardrails as G
 from claimlens.operators import joins as J
 from claimlens.operators import windows as W
 from claimlens.plans import chain as P
-from claimlens.storage import ship_package, spread, table
+from claimlens.storage import materialise, ship_package, spread, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -339,7 +339,7 @@ def quote_provenance(spark, d):
     flat = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     q = table(spark, d, "benchmark").filter(F.length("text") >= 12).select("item_id", flat(F.col("text")).alias("flat"))
     s = table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), flat(F.col("text")).alias("flat"))
-    return J.containment(q, s, q.count())
+    return J.containment(q, s)
 
 
 @query("SELECT conv_id, role, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY 1, 2")
@@ -532,7 +532,7 @@ def voice_enrol(spark, d):
 
 
 def prints(spark, d):
-    return A.centroids(table(spark, d, "embeddings").select(F.col("label").cast("string").alias("label"), "embedding"), "label", "embedding")
+    return materialise(A.centroids(table(spark, d, "embeddings").select(F.col("label").cast("string").alias("label"), "embedding"), "label", "embedding"), "prints")
 
 
 CENTRE = """WITH u AS (SELECT label, unnest(list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),

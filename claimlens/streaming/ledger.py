@@ -14,42 +14,52 @@ _SETTLED = ("exact", "approximate", "false")
 
 
 class Ledger(StatefulProcessor):
-    """Per claim: its occurrences so far and whether they ever conflicted. A conflict revises every earlier occurrence."""
+    """Per claim: counters, and its occurrences until they conflict. A conflict revises every earlier occurrence, once; then they are forgotten.
+
+    The state of a claim that never conflicts grows with its occurrences, as a later conflict must revise them all; ``ttl_ms`` bounds it.
+    """
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getListState("seen", "statement_id string, verdict string, confidence double")
-        self.conflict = handle.getValueState("conflict", "value boolean")
+        ttl = {"ttlDurationMs": self.ttl_ms} if self.ttl_ms else {}
+        self.seen = handle.getListState("seen", "statement_id string, verdict string, confidence double", **ttl)
+        self.sums = handle.getValueState("sums", "settled long, verdict string, best double, conflicted boolean", **ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        old = [tuple(r) for r in self.seen.get()]
-        conflicted = bool(self.conflict.exists() and self.conflict.get()[0])
-        out = []
+        settled, known, best, conflicted = self.sums.get() if self.sums.exists() else (0, None, 0.0, False)
+        out, fresh = [], []
         for f in rows:
             for s, v, c in f.sort_values("seq")[["statement_id", "verdict", "confidence"]].itertuples(index=False):
-                old.append((s, v, float(c)))
-                self.seen.appendValue((s, v, float(c)))
-                kinds = {x[1] for x in old if x[1] in _SETTLED}
-                settled = sum(x[1] in _SETTLED for x in old)
-                fresh = len(kinds) > 1 and not conflicted
-                conflicted = conflicted or len(kinds) > 1
-                status = "conflicted" if conflicted else "single" if settled < 2 else "corroborated"
-                if fresh:
-                    out += [(key[0], a, "unverified", min(b, 0.3), status) for a, k, b in old if k != "unverified"]
+                c = float(c)
+                best = max(best, c)
+                opens = v in _SETTLED and known is not None and v != known and not conflicted
+                if v in _SETTLED:
+                    settled, known = settled + 1, known or v
+                if opens:
+                    conflicted = True
+                    out += [(key[0], a, "unverified", min(b, 0.3), "conflicted") for a, k, b in [*map(tuple, self.seen.get()), *fresh, (s, v, c)] if k != "unverified"]
+                    self.seen.clear()
+                    fresh = []
                 elif conflicted:
-                    out.append((key[0], s, "unverified", min(float(c), 0.3), status))
+                    out.append((key[0], s, "unverified", min(c, 0.3), "conflicted"))
                 else:
-                    best = max(x[2] for x in old)
-                    out.append((key[0], s, v, min(best + min(0.05 * max(settled - 1, 0), 0.10), 0.98) if status == "corroborated" else float(c), status))
-        self.conflict.update((conflicted,))
+                    fresh.append((s, v, c))
+                    status = "single" if settled < 2 else "corroborated"
+                    out.append((key[0], s, v, min(best + min(0.05 * max(settled - 1, 0), 0.10), 0.98) if status == "corroborated" else c, status))
+        if fresh:
+            self.seen.appendList(fresh)
+        self.sums.update((settled, known, best, conflicted))
         yield pd.DataFrame(out, columns=["claim_key", "statement_id", "verdict", "confidence", "status"])
 
     def close(self) -> None:
         pass
 
 
-def ledger_stream(occurrences: DataFrame) -> DataFrame:
-    """occurrences: claim_key, statement_id, seq, verdict, confidence. Update mode; needs the RocksDB state store."""
-    return occurrences.groupBy("claim_key").transformWithStateInPandas(Ledger(), REVISIONS, "Update", "None")
+def ledger_stream(occurrences: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """occurrences: claim_key, statement_id, seq, verdict, confidence. Update mode; needs the RocksDB state store. ttl_ms: how long a claim is remembered."""
+    return occurrences.groupBy("claim_key").transformWithStateInPandas(Ledger(ttl_ms), REVISIONS, "Update", "ProcessingTime" if ttl_ms else "None")
 
 
 def windowed_counts(events: DataFrame, every: str = "1 day", late: str = "2 hours") -> DataFrame:
