@@ -85,12 +85,13 @@ def containment(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     quotes: item_id, flat; sources: source_id, flat. A quote of four words or more may begin inside a word, but its second and third words are
     whole: it meets the sources that hold that word pair, and only these are searched. Shorter quotes are searched in every source.
     """
-    pair = lambda a, i: F.concat_ws(" ", F.get(a, i), F.get(a, i + 1))
+    pair = lambda a, b: F.concat_ws(" ", a, b)
     w = F.split("flat", " ")
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: pair(w, i)))
+    # words beside their successors: an index into the split inside a lambda would split the text again for every word
+    pairs = F.array_distinct(F.zip_with(w, F.slice(w, 2, F.size(w)), pair))
     held = sources.select("source_id", F.explode(pairs).alias("k"))
     long, short = quotes.filter(F.size(w) >= 4), quotes.filter(F.size(w) < 4)
-    near = held.join(long.select("item_id", pair(w, F.lit(1)).alias("k")), "k").select("source_id", "item_id").distinct()
+    near = held.join(long.select("item_id", pair(F.get(w, F.lit(1)), F.get(w, F.lit(2))).alias("k")), "k").select("source_id", "item_id").distinct()
     text = lambda df, name: df.withColumnRenamed("flat", name)
     hits = near.join(text(long, "q"), "item_id").join(text(sources, "s"), "source_id").filter(F.col("s").contains(F.col("q"))).select("item_id", "source_id")
     if short.limit(1).count():
