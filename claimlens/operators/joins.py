@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from claimlens.functions.numbers import cosine, overlap_seconds
 
 
+#: Letters of a glossary, with 16 a row besides, up to which it is sent to all tasks; a larger one is dealt by its forms' beginnings.
+GLOSSARY = 8 << 20
+
+
 def _buckets(lo: Column, hi: Column, width: float) -> Column:
     return F.sequence(F.floor(lo / width), F.floor(F.greatest(lo, hi) / width))
 
@@ -89,7 +93,7 @@ def containment(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     w = F.split("flat", " ")
     # words beside their successors: an index into the split inside a lambda would split the text again for every word
     pairs = F.array_distinct(F.zip_with(w, F.slice(w, 2, F.size(w)), pair))
-    held = sources.select("source_id", F.explode(pairs).alias("k"))
+    held = sources.select("source_id", F.explode_outer(pairs).alias("k"))  # the plain explode has its array computed twice
     long, short = quotes.filter(F.size(w) >= 4), quotes.filter(F.size(w) < 4)
     near = held.join(long.select("item_id", pair(F.get(w, F.lit(1)), F.get(w, F.lit(2))).alias("k")), "k").select("source_id", "item_id").distinct()
     text = lambda df, name: df.withColumnRenamed("flat", name)
@@ -102,13 +106,15 @@ def containment(quotes: DataFrame, sources: DataFrame) -> DataFrame:
 def keyword_terms(claims: DataFrame, forms: DataFrame, key: str, flat: str) -> DataFrame:
     """(key, term): terms one of whose forms begins at a word of the text. forms: term, form.
 
-    Texts and forms meet by the letters of the shortest form's length at a word's beginning.
+    Every word's beginning, as long as the longest form, meets the forms by the letters of the shortest; whole texts are not copied along.
     """
-    least = forms.agg(F.min(F.length("form"))).first()[0] or 1
+    size = F.length("form")
+    least, most, letters = (x or 1 for x in forms.agg(F.min(size), F.max(size), F.sum(size + F.lit(16))).first())
     text = F.concat(F.lit(" "), F.regexp_replace(F.col(flat), r"(?U)[^\w]+", " "))
-    starts = F.array_distinct(F.regexp_extract_all("__t", F.lit(f"(?<= )(?=(.{{{least}}}))"), 1))
-    keyed = claims.select(key, text.alias("__t")).select(key, "__t", F.explode(starts).alias("__k"))
-    return keyed.join(forms.withColumn("__k", F.substring("form", 1, least)), "__k").filter(F.col("__t").contains(F.concat(F.lit(" "), F.col("form")))).select(key, "term").distinct()
+    starts = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?<= )(?=(.{{{least},{most}}}))"), 1))
+    keyed = claims.select(key, F.explode_outer(starts).alias("__s")).withColumn("__k", F.substring("__s", 1, least))
+    known = forms.withColumn("__k", F.substring("form", 1, least))
+    return keyed.join(F.broadcast(known) if letters <= GLOSSARY else known, "__k").filter(F.col("__s").startswith(F.col("form"))).select(key, "term").distinct()
 
 
 def _print_blocks(prints: DataFrame, block: int) -> tuple[DataFrame, int]:
