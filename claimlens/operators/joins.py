@@ -13,8 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlens.functions.numbers import cosine, overlap_seconds
+from claimlens.storage import materialise
 
 
+# Fixed value: the letters a flattened quote needs to be looked for.
+LEAST_QUOTE = 12
+
 #: Letters of a glossary, with 16 a row besides, up to which it is sent to all tasks; a larger one is dealt by its forms' beginnings.
 GLOSSARY = 8 << 20
 
@@ -83,10 +87,10 @@ def greedy_nearest(left: DataFrame, right: DataFrame, group: str, reach: float =
     return u.groupBy(group, "run").applyInPandas(match, f"left_id {kind}, right_id {kind}")
 
 
-def containment(quotes: DataFrame, sources: DataFrame) -> DataFrame:
-    """(item_id, source_id): the first source whose flattened text contains the flattened quote; null if none.
+def held_by(quotes: DataFrame, sources: DataFrame) -> DataFrame:
+    """(item_id, source_id): every source that holds a quote; where both have a domain column, only sources of the quote's, if it is not null.
 
-    quotes: item_id, flat; sources: source_id, flat. A quote of four words or more may begin inside a word, but its second and third words are
+    A quote of four words or more may begin inside a word, but its second and third words are
     whole: it meets the sources that hold that word pair, and only these are searched. Shorter quotes are searched in every source.
     """
     pair = lambda a, b: F.concat_ws(" ", a, b)
@@ -96,13 +100,46 @@ def containment(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     held = sources.select("source_id", F.explode_outer(pairs).alias("k"))  # the plain explode has its array computed twice
     long, short = quotes.filter(F.size(w) >= 4), quotes.filter(F.size(w) < 4)
     near = held.join(long.select("item_id", pair(F.get(w, F.lit(1)), F.get(w, F.lit(2))).alias("k")), "k").select("source_id", "item_id").distinct()
-    text = lambda df, name: df.withColumnRenamed("flat", name)
-    hits = near.join(text(long, "q"), "item_id").join(text(sources, "s"), "source_id").filter(F.col("s").contains(F.col("q"))).select("item_id", "source_id")
+    narrow = "domain" in quotes.columns and "domain" in sources.columns
+    text = lambda df, name: df.select("item_id" if name == "q" else "source_id", F.col("flat").alias(name), *([F.col("domain").alias(f"{name}_domain")] if narrow else []))
+    holds = F.col("s").contains(F.col("q"))
+    if narrow:
+        holds &= F.col("q_domain").isNull() | (F.col("q_domain") == F.col("s_domain"))
+    hits = near.join(text(long, "q"), "item_id").join(text(sources, "s"), "source_id").filter(holds).select("item_id", "source_id")
     if short.limit(1).count():
-        hits = hits.unionByName(text(sources, "s").join(text(short, "q"), F.col("s").contains(F.col("q"))).select("item_id", "source_id"))
+        hits = hits.unionByName(text(sources, "s").join(text(short, "q"), holds).select("item_id", "source_id"))
+    return hits
+
+
+def containment(quotes: DataFrame, sources: DataFrame) -> DataFrame:
+    """(item_id, source_id): the first source whose flattened text contains the flattened quote; null if none.
+
+    quotes: item_id, flat; sources: source_id, flat.
+    """
+    hits = held_by(quotes, sources)
     return quotes.select("item_id").join(hits.groupBy("item_id").agg(F.min("source_id").alias("source_id")), "item_id", "left")
 
 
+def provenance(quotes: DataFrame, sources: DataFrame, briefs: DataFrame) -> DataFrame:
+    """(item_id, found, source_id, reason): whether a primary source holds the quote; a brief orients but proves nothing.
+
+    quotes: item_id, domain, flat; sources, briefs: source_id, domain, flat; the least source_id comes first. A quote's domain narrows the search
+    only where sources have that domain.
+    """
+    known = sources.unionByName(briefs).select("domain").distinct().withColumn("__known", F.lit(True))
+    q = quotes.join(known, "domain", "left").withColumn("domain", F.when(F.col("__known"), F.col("domain"))).drop("__known")
+    q = materialise(q.select("item_id", "domain", "flat"), "quotes")
+    long = q.filter(F.length("flat") >= LEAST_QUOTE)
+
+    def first(of: DataFrame, name: str) -> DataFrame:
+        return held_by(long, of).groupBy("item_id").agg(F.min("source_id").alias(name))
+
+    j = q.join(first(sources, "source_id"), "item_id", "left").join(first(briefs, "__brief"), "item_id", "left")
+    found = F.col("source_id").isNotNull()
+    reason = F.when(F.length("flat") < LEAST_QUOTE, "too short").when(found, "primary source").when(F.col("__brief").isNotNull(), "brief only").otherwise("not found")
+    return j.select("item_id", found.alias("found"), "source_id", reason.alias("reason"))
+
+
 def keyword_terms(claims: DataFrame, forms: DataFrame, key: str, flat: str) -> DataFrame:
     """(key, term): terms one of whose forms begins at a word of the text. forms: term, form.
 

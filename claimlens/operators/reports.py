@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimlens.operators.windows import spaced
+from claimlens.operators.windows import islands, spaced
 
 # What a voice cluster needs to keep its name, usable clips for a confirmation, recordings for a voice.
 NAME_SHARE, NAME_MENTIONS, COHESION = 0.60, 3, 0.60
@@ -123,3 +123,47 @@ def pair_classes(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFra
 def audit_records(statements: DataFrame, corpus_version: str) -> DataFrame:
     """One row per verdict and source it rests on; verdicts without a source have one row with none. sources: array of structs."""
     return statements.select(F.lit(corpus_version).alias("corpus_version"), "statement_id", "verdict", "confidence", F.explode_outer("sources").alias("s")).select("corpus_version", "statement_id", "verdict", "confidence", F.col("s.domain").alias("domain"), F.col("s.rank").alias("rank"), F.col("s.quote").alias("quote"))
+
+
+def first_examples(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each group; ranks above n are dropped before the exchange."""
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("__n") <= n).drop("__n")
+
+
+def only_in_either(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """(side, on): what one side has and the other lacks, each once."""
+    a, b = left.select(on), right.select(on)
+    return a.subtract(b).select(F.lit("left").alias("side"), on).union(b.subtract(a).select(F.lit("right").alias("side"), on))
+
+
+def page_blocks(statements: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """(by, island, speaker, withdrawn, start, timecode, n): runs of one speaker; withdrawn if any statement is; the timecode is the last one's."""
+    s = islands(statements, by, order, F.col("speaker"))
+    at = F.struct(*order)
+    return s.groupBy(*by, "island").agg(F.first("speaker").alias("speaker"), F.bool_or(F.coalesce("withdrawn", F.lit(False))).alias("withdrawn"), F.min_by("timestamp", at).alias("start"), F.max_by("timestamp", at).alias("timecode"), F.count("*").alias("n"))
+
+
+def ledger_counters(status: DataFrame) -> DataFrame:
+    """One row: claims, those met more than once, corroborated and conflicted ones. status: claim_key, occurrences, status."""
+    return status.agg(F.count("*").alias("claims"), F.count_if(F.col("occurrences") > 1).alias("repeated"), F.count_if(F.col("status") == "corroborated").alias("corroborated"), F.count_if(F.col("status") == "conflicted").alias("conflicted"))
+
+
+def routing_line(terms: Column, domains: Column, keys: Column, trap: Column) -> Column:
+    """One line a routing decision, for later audit."""
+    some = lambda c: F.when(F.size(c) > 0, F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]"))).otherwise("-")
+    return F.concat(F.lit("terms="), some(terms), F.lit(" domains="), some(domains), F.lit(" sources="), some(keys), F.when(trap, " TRAP").otherwise(""))
+
+
+def corroboration_note(status: Column, witness: Column, missing: Column, unanchored: Column, heard: Column) -> Column:
+    """One sentence on what the other recordings say of a statement's figures. missing, unanchored, heard: arrays of figures as heard."""
+    listed = lambda c: F.array_join(c, ", ")
+    drifted = (F.size(unanchored) > 0) & (F.size(unanchored) == F.size(missing))
+    instead = F.coalesce(F.nullif(listed(F.slice(heard, 1, 3)), F.lit("")), F.lit("something else"))
+    return (
+        F.when(status == "confirmed", F.format_string("confirmed by an independent transcription (%s)", witness))
+        .when(drifted, F.format_string("%s is heard by %s among other words: not corroborated", listed(unanchored), witness))
+        .when(status == "divergent", F.format_string("transcriptions differ: %s here, %s in %s", listed(missing), instead, witness))
+        .when(status == "absent", F.format_string("%s reports no figure here: not judged", witness))
+        .when(status == "no_witness", "only one transcription: no independent source")
+        .otherwise("no figure to corroborate")
+    )

@@ -648,4 +648,4 @@ def windowed_events(spark, d):
     return table(spark, d, "events").groupBy(F.date_trunc("day", "ts").alias("start"), "event_type").agg(F.count("*").alias("n")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-from claimlens import queries_speech as _speech  # noqa: E402, F401  (registers its queries here)
+from claimlens import queries_records as _records, queries_speech as _speech  # noqa: E402, F401  (register their queries here)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +38,35 @@ def transcript_json(blocks: DataFrame, path: str) -> None:
 
 def ledger_audit(status: DataFrame, path: str) -> None:
     status.filter("occurrences > 1").write.mode("overwrite").json(path)
+
+
+def report_json(report: DataFrame, path: str) -> None:
+    """A bench, evaluation or coverage report: some rows of totals, in one file."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
+def state_file(df: DataFrame, path: str, text: str) -> None:
+    """A small file that readers see whole or not at all: written beside its place, then renamed over it."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    context = hadoop.FileContext.getFileContext(spark._jsc.sc().hadoopConfiguration())
+    target = context.makeQualified(hadoop.Path(path))
+    beside = hadoop.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
+    out = beside.getFileSystem(spark._jsc.sc().hadoopConfiguration()).create(beside, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(beside, target, options)
+
+
+def confirmation_yaml(clusters: DataFrame, path: str, header: str = "") -> None:
+    """The clusters a person is to confirm, some hundreds of a debate, as one YAML file that replaces the former at once."""
+    import json
+
+    import yaml
+
+    rows = [json.loads(r) for r in clusters.toJSON().toLocalIterator()]
+    state_file(clusters, path, header + yaml.safe_dump({"grappes": rows}, allow_unicode=True, sort_keys=False))
