@@ -6,9 +6,10 @@ shuffle by key instead of planning as nested loops; a pair is found in the first
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,26 +66,50 @@ def greedy_nearest(left: DataFrame, right: DataFrame, group: str, reach: float =
     """One-to-one: left rows in order take the nearest unused right row within reach, the earlier one on ties.
 
     Both need group, id, t. Consumption depends on order, so a group's run of close rows stays together: gaps wider than
-    the reach cut the group into independent runs first.
+    the reach cut the group into independent runs first. Used rows are merged with their neighbours (union-find, to the next
+    free row on either side), so a run of n rows costs n log n.
     """
-    u = left.select(group, "id", "t", F.lit(0).alias("side")).unionByName(right.select(group, "id", "t", F.lit(1).alias("side")))
+    u = left.select(group, "id", F.col("t").cast("double").alias("t"), F.lit(0).alias("side")).unionByName(right.select(group, "id", F.col("t").cast("double").alias("t"), F.lit(1).alias("side")))
     w = Window.partitionBy(group).orderBy("t", "side", "id")
     u = u.withColumn("__cut", F.when(F.col("t") - F.lag("t").over(w) > reach, 1).otherwise(0)).withColumn("run", F.sum("__cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__cut")
     kind = left.schema["id"].dataType.simpleString()
 
-    def match(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["t", "id"])
-        a, b = f[f.side == 0], f[f.side == 1]
-        free, pairs = dict(zip(b.id, b.t)), []
-        for i, t in zip(a.id, a.t):
-            near = min(((abs(x - t), x, j) for j, x in free.items() if abs(x - t) <= reach), default=None)
-            pairs.append((i, None if near is None else near[2]))
-            if near is not None:
-                del free[near[2]]
-        pairs += [(None, j) for j in free]
-        return pd.DataFrame(pairs, columns=["left_id", "right_id"], dtype="object")
-
-    return u.groupBy(group, "run").applyInPandas(match, f"left_id {kind}, right_id {kind}")
+    def match(f: pa.Table) -> pa.Table:
+        f = f.sort_by([("t", "ascending"), ("id", "ascending")])
+        a, b = (f.filter(pc.equal(f["side"], side)) for side in (0, 1))
+        taken = nearest_free(a["t"].to_pylist(), b["t"].to_pylist(), reach)
+        used = {j for j in taken if j is not None}
+        rest = [j for j in range(len(b)) if j not in used]
+        columns = [pa.concat_arrays([a["id"].combine_chunks(), pa.nulls(len(rest), f["id"].type)]), b["id"].combine_chunks().take(pa.array([*taken, *rest], pa.int64()))]
+        return pa.table(columns, names=["left_id", "right_id"])
+
+    return u.groupBy(group, "run").applyInArrow(match, f"left_id {kind}, right_id {kind}")
+
+
+def nearest_free(left: list[float], right: list[float], reach: float) -> list[int | None]:
+    """For each left time in order the index of the nearest right time not yet taken, both sorted."""
+    size = len(right)
+    after, before = list(range(size + 1)), list(range(size + 1))  # free themselves, or a step towards the next free one; before is shifted by one
+
+    def root(of: list[int], i: int) -> int:
+        end = i
+        while of[end] != end:
+            end = of[end]
+        while of[i] != end:
+            of[i], i = end, of[i]
+        return end
+
+    out: list[int | None] = []
+    for t in left:
+        p = bisect_right(right, t)
+        low, high = root(before, p) - 1, root(after, p)
+        if low >= 0:
+            low = root(after, bisect_left(right, right[low]))  # of equal times the first
+        best = min(((abs(right[j] - t), right[j], j) for j in (low, high) if 0 <= j < size and abs(right[j] - t) <= reach), default=None)
+        out.append(None if best is None else best[2])
+        if best is not None:
+            after[best[2]], before[best[2] + 1] = best[2] + 1, best[2]
+    return out
 
 
 def held_by(quotes: DataFrame, sources: DataFrame) -> DataFrame:
@@ -205,39 +230,56 @@ def look_ahead_votes(mentions: DataFrame, segments: DataFrame, after: float = 5.
     return t.groupBy("mention_id").agg(F.max_by("cluster", F.struct("seconds", -F.col("first"))).alias("cluster"))
 
 
-def corroborate(required: DataFrame, heard: DataFrame, pad: float | Column = 20.0, min_anchor: float | Column = 0.2, width: float | None = None) -> DataFrame:
-    """(statement_id, status, witness): all required figures must be heard from one witness of another family.
+_PAIR = ["statement_id", "witness", "witness_seq"]
 
-    required: statement_id, family, start, stop, figures array<struct<kind,value>>, words array<string>;
-    heard: witness, witness_seq, w_family, t, kind, value, around array<string>, position int.
 
-    Figures meet by kind, value and time slot, so rows of other values never pair up. Whether a witness spoke in the window at all
-    follows from the first and last time of its slots; only windows inside one slot, which the default width rules out from a pad
+def _spoken(r: DataFrame, h: DataFrame, width: float) -> DataFrame:
+    """(statement, witness) where a witness of another family gives any figure in the window.
+
+    It follows from the first and last time of a witness's slots; only windows inside one slot, which the default width rules out from a pad
     of a second, look at single rows.
     """
-    from claimlens.functions.text import anchor_ratio
-
-    width = width or max(pad, 1.0)
     slot = lambda t: F.floor(t / width)
-    # relative tolerance is below a thousandth of a cell on this scale, so equal values lie in one cell or two neighbours
-    cell = lambda v: F.floor(F.signum(v) * F.log1p(F.abs(v)) * 1e6)
-    r = required.withColumns({"lo": F.col("start") - pad, "hi": F.col("stop") + pad})
     within, other = F.col("t").between(F.col("lo"), F.col("hi")), F.col("family") != F.col("w_family")
-    h = heard.withColumn("slot", slot(F.col("t")))
-    keys = ["statement_id", "witness", "witness_seq"]
-
     windows = r.select("statement_id", "family", "lo", "hi", F.explode(F.sequence(slot(F.col("lo")), slot(F.col("hi")))).alias("slot"))
     inside = slot(F.col("lo")) == slot(F.col("hi"))
     ends = h.groupBy("witness", "witness_seq", "w_family", "slot").agg(F.min("t").alias("first"), F.max("t").alias("last"))
-    spoke = windows.filter(~inside).join(ends, "slot").filter(other & (F.col("last") >= F.col("lo")) & (F.col("first") <= F.col("hi"))).select(*keys)
-    spoke = spoke.union(windows.filter(inside).join(h, "slot").filter(other & within).select(*keys)).distinct()
+    spoke = windows.filter(~inside).join(ends, "slot").filter(other & (F.col("last") >= F.col("lo")) & (F.col("first") <= F.col("hi"))).select(*_PAIR)
+    return spoke.union(windows.filter(inside).join(h, "slot").filter(other & within).select(*_PAIR)).distinct()
+
+
+def _equal(r: DataFrame, h: DataFrame, width: float, min_anchor: float | Column) -> DataFrame:
+    """(statement, witness, i, anchored): the i-th figure asked for is heard, and whether among the same words; a row a hit."""
+    from claimlens.functions.text import anchor_ratio
 
+    slot = lambda t: F.floor(t / width)
+    within, other = F.col("t").between(F.col("lo"), F.col("hi")), F.col("family") != F.col("w_family")
+    # relative tolerance is below a thousandth of a cell on this scale, so equal values lie in one cell or two neighbours
+    cell = lambda v: F.floor(F.signum(v) * F.log1p(F.abs(v)) * 1e6)
     v, w = F.col("q.value"), F.col("value")
     slack = F.lit(1e-9) * F.greatest(F.abs(v), F.lit(1.0))
     asked = r.select("statement_id", "family", "lo", "hi", "words", F.posexplode("figures").alias("i", "q"))
     asked = asked.withColumn("kind", F.col("q.kind")).withColumn("cell", F.explode(F.array_distinct(F.array(cell(v - slack), cell(v + slack))))).withColumn("slot", F.explode(F.sequence(slot(F.col("lo")), slot(F.col("hi")))))
-    met = asked.join(h.withColumn("cell", cell(w)), ["kind", "cell", "slot"]).filter(other & within & (F.abs(v - w) <= slack) & (anchor_ratio(F.col("words"), F.col("around"), F.col("position")) >= min_anchor))
-    found = spoke.withColumn("i", F.lit(None).cast("int")).union(met.select(*keys, "i")).groupBy(*keys).agg(F.count_distinct("i").alias("n"))
+    met = asked.join(h.withColumn("cell", cell(w)), ["kind", "cell", "slot"]).filter(other & within & (F.abs(v - w) <= slack))
+    return met.select(*_PAIR, "i", (anchor_ratio(F.col("words"), F.col("around"), F.col("position")) >= min_anchor).alias("anchored"))
+
+
+def _windowed(required: DataFrame, heard: DataFrame, pad: float | Column, width: float | None) -> tuple[DataFrame, DataFrame, float]:
+    width = width or max(pad, 1.0)
+    return required.withColumns({"lo": F.col("start") - pad, "hi": F.col("stop") + pad}), heard.withColumn("slot", F.floor(F.col("t") / width)), width
+
+
+def corroborate(required: DataFrame, heard: DataFrame, pad: float | Column = 20.0, min_anchor: float | Column = 0.2, width: float | None = None) -> DataFrame:
+    """(statement_id, status, witness): all required figures must be heard from one witness of another family.
+
+    required: statement_id, family, start, stop, figures array<struct<kind,value>>, words array<string>;
+    heard: witness, witness_seq, w_family, t, kind, value, around array<string>, position int.
+
+    Figures meet by kind, value and time slot, so rows of other values never pair up.
+    """
+    r, h, width = _windowed(required, heard, pad, width)
+    met = _equal(r, h, width, min_anchor).filter("anchored")
+    found = _spoken(r, h, width).withColumn("i", F.lit(None).cast("int")).union(met.select(*_PAIR, "i")).groupBy(*_PAIR).agg(F.count_distinct("i").alias("n"))
 
     j = required.join(found, "statement_id", "left")
     status = F.when(F.size("figures") == 0, "no_quantity").when(F.col("witness").isNull(), "absent").when(F.col("n") == F.size("figures"), "confirmed").otherwise("divergent")
@@ -245,6 +287,56 @@ def corroborate(required: DataFrame, heard: DataFrame, pad: float | Column = 20.
     return j.groupBy("statement_id").agg(F.min_by(F.struct(status.alias("status"), F.col("witness").alias("witness")), F.struct(rank, F.coalesce("witness_seq", F.lit(0)))).alias("b")).select("statement_id", "b.status", "b.witness")
 
 
+HEARD = 6  # Fixed value: figures of a witness that are listed instead
+
+
+def evidence(required: DataFrame, heard: DataFrame, witnesses: DataFrame, pad: float = 20.0, min_anchor: float = 0.2, width: float | None = None) -> DataFrame:
+    """(statement_id, status, witness, matched, missing, unanchored, heard): the whole outcome of corroboration, figures as they were said.
+
+    As ``corroborate``, but every independent transcription is a witness, also one that says nothing in the window: a statement is ``absent`` by the
+    first of them if none gives a figure, and ``no_witness`` if there is none of another family. unanchored: missing figures that the witness
+    gives among other words. heard: of a divergent witness the first figures in the window.
+
+    required and heard as for ``corroborate``, with ``raw`` beside kind and value, and ``place`` (order among equal t) in heard; witnesses: witness, witness_seq,
+    w_family. First the witness is chosen from counts per statement and witness, then evidence is gathered for the chosen ones alone.
+    """
+    r, h, width = _windowed(required, heard, pad, width)
+    figures = F.size("figures")
+    equal = materialise(_equal(r, h, width, min_anchor).groupBy(*_PAIR, "i").agg(F.bool_or("anchored").alias("anchored")), "equal")
+    spoke = _spoken(r, h, width).withColumns({"i": F.lit(None).cast("int"), "anchored": F.lit(False)})
+    per = spoke.unionByName(equal).groupBy(*_PAIR).agg(F.count_if("anchored").alias("n"))
+    ranked = required.select("statement_id", figures.alias("asked")).join(per, "statement_id")
+    whole = F.col("n") == F.col("asked")
+    best = ranked.groupBy("statement_id").agg(F.min_by(F.struct("witness", whole.alias("whole")), F.struct(F.when(whole, 0).otherwise(1), "witness_seq")).alias("b"))
+
+    # the first witness of all, and the first of another family than that: one of them is independent of any statement, or none is
+    order = witnesses.select("witness", "witness_seq", "w_family").orderBy("witness_seq", "witness")
+    one = order.first()
+    two = order.filter(F.col("w_family") != F.lit(one["w_family"])).first() if one else None
+    none = F.lit(None).cast("string")
+    first = none
+    for w in (two, one):
+        first = F.when(F.col("family") != F.lit(w["w_family"]), F.lit(w["witness"])).otherwise(first) if w else first
+    j = required.join(best, "statement_id", "left")
+    status = F.when(figures <= 0, "no_quantity").when(first.isNull(), "no_witness").when(F.col("b").isNull(), "absent").when(F.col("b.whole"), "confirmed").otherwise("divergent")
+    by = F.when(status.isin("no_quantity", "no_witness"), none).otherwise(F.coalesce("b.witness", first))
+    chosen = materialise(j.select("statement_id", "start", "stop", "figures", status.alias("status"), by.alias("witness")), "chosen")
+
+    said = chosen.select("statement_id", "witness", F.posexplode("figures").alias("i", "q")).join(equal.drop("witness_seq"), ["statement_id", "witness", "i"], "left")
+    told = said.groupBy("statement_id").agg(F.array_sort(F.collect_list(F.struct("i", F.col("q.raw").alias("raw"), "anchored"))).alias("f"))  # the figures of one statement
+    of = lambda keep: F.transform(F.filter("f", keep), lambda x: x["raw"])
+    told = told.select("statement_id", of(lambda x: F.coalesce(x["anchored"], F.lit(False))).alias("matched"), of(lambda x: ~F.coalesce(x["anchored"], F.lit(False))).alias("missing"), of(lambda x: x["anchored"].eqNullSafe(F.lit(False))).alias("unanchored"))
+
+    lo, hi = F.col("start") - pad, F.col("stop") + pad
+    windows = chosen.filter("status = 'divergent'").select("statement_id", "witness", lo.alias("lo"), hi.alias("hi"), F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width))).alias("slot"))
+    near = windows.join(h.select("witness", "slot", "t", "place", "raw"), ["witness", "slot"]).filter(F.col("t").between(F.col("lo"), F.col("hi")))
+    few = near.withColumn("__n", F.row_number().over(Window.partitionBy("statement_id").orderBy("t", "place"))).filter(F.col("__n") <= HEARD)
+    instead = few.groupBy("statement_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "raw"))), lambda x: x["raw"]).alias("heard"))
+    empty = F.array().cast("array<string>")
+    out = chosen.drop("figures").join(told, "statement_id", "left").join(instead, "statement_id", "left")
+    return out.select("statement_id", "status", "witness", *(F.coalesce(c, empty).alias(c) for c in ("matched", "missing", "unanchored", "heard")))
+
+
 def settings_sweep(required: DataFrame, heard: DataFrame, pads: list[float], anchors: list[float], must_block: list | None = None, must_confirm: list | None = None) -> DataFrame:
     """(pad, min_anchor, statements, with_figures, corroborated, coverage, kept) of every pair of settings, in one pass.
 

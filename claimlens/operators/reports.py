@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimlens.operators.windows import islands, spaced
+from claimlens.operators.folds import spaced
+from claimlens.operators.ranking import ranked
+from claimlens.operators.windows import islands
 
 # What a voice cluster needs to keep its name, usable clips for a confirmation, recordings for a voice.
 NAME_SHARE, NAME_MENTIONS, COHESION = 0.60, 3, 0.60
@@ -15,7 +17,7 @@ CLIPS, RECORDINGS = 3, 3
 def ranked_counts(rows: DataFrame, by: str, seq: str) -> DataFrame:
     """(by, n, place): counts from the largest; equal ones as first seen."""
     n = rows.groupBy(by).agg(F.count("*").alias("n"), F.min(seq).alias("__first"))
-    return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "__first"))).drop("__first")
+    return ranked(n, [F.desc("n"), F.col("__first")], "place").drop("__first")
 
 
 def speaker_seconds(blocks: DataFrame) -> DataFrame:
@@ -68,8 +70,7 @@ def name_votes(votes: DataFrame, apart: float = 30.0) -> DataFrame:
 
     votes: cluster, id, t. Ties go to the one named first.
     """
-    n = votes.groupBy("cluster", "id").agg(F.array_sort(F.collect_list(F.col("t").cast("double"))).alias("t"))
-    n = n.select("cluster", "id", F.size(spaced(F.col("t"), apart)).alias("n"), F.get("t", F.lit(0)).alias("first"))
+    n = spaced(votes, ["cluster", "id"], "t", apart)
     best = n.groupBy("cluster").agg(F.max_by(F.struct("id", "n"), F.struct("n", -F.col("first"), "id")).alias("b"), F.sum("n").alias("total"))
     return best.select("cluster", F.col("b.id").alias("id"), F.col("b.n").alias("mentions"), (F.col("b.n") / F.col("total")).alias("share"))
 
@@ -97,7 +98,10 @@ def dossier_report(files: DataFrame, by: str, sections: list[str], voice: str, p
     p = files.groupBy(by).pivot("section", sections).count().na.fill(0)
     total = sum((F.col(s) for s in sections[1:]), F.col(sections[0]))
     p = p.withColumn("total", total).withColumn("voice_enrolable", F.col(voice) >= RECORDINGS).withColumn("coherence_available", F.col(programme) > 0)
-    return p.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), by))).withColumn("median", F.median("total").over(Window.partitionBy()))
+    placed = ranked(p, [F.desc("total"), F.col(by)], "place")
+    n = placed.count()
+    median = placed.filter(F.col("place").between((n + 1) // 2, n // 2 + 1)).agg(F.avg("total")).first()[0]
+    return placed.withColumn("median", F.lit(median).cast("double"))
 
 
 def transcript_size(blocks: DataFrame, by: str, compute_seconds: Column | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Islands, gap merges, capped folds and running states."""
+"""Islands, gap merges and running states."""
 
 from __future__ import annotations
 
@@ -20,30 +20,6 @@ def gap_merge(rows: DataFrame, by: list[str], order: list[str], start: Column, s
     return rows.withColumn("__c", new).withColumn("island", F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__c")
 
 
-def capped_blocks(rows: DataFrame, by: list[str], start: str, stop: str, seq: str, cap: float = 30.0) -> DataFrame:
-    """(by, block, start, stop, n): a row joins the block while its stop is less than ``cap`` after the block's start.
-
-    The rule depends on the block so far, so each group is folded in order."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(start).cast("double").alias("a"), F.col(seq).alias("s"), F.col(stop).cast("double").alias("b"))))
-    none = F.array().cast("array<struct<start:double,stop:double,n:int>>")
-    last = lambda acc: F.element_at(acc, -1)
-
-    def step(acc: Column, x: Column) -> Column:
-        grown = F.struct(last(acc)["start"].alias("start"), x["b"].alias("stop"), (last(acc)["n"] + 1).alias("n"))
-        fresh = F.struct(x["a"].alias("start"), x["b"].alias("stop"), F.lit(1).alias("n"))
-        joins = (F.size(acc) > 0) & (x["b"] - F.try_element_at(acc, F.lit(-1))["start"] < cap)
-        return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), x["b"].alias("stop"), (F.try_element_at(acc, F.lit(-1))["n"] + 1).alias("n"))))).otherwise(F.concat(acc, F.array(fresh)))
-
-    g = rows.groupBy(*by).agg(F.aggregate(items, none, step).alias("blocks"))
-    return g.select(*by, F.posexplode("blocks").alias("block", "b")).select(*by, "block", "b.start", "b.stop", "b.n")
-
-
-def spaced(times: Column, apart: float) -> Column:
-    """Of a sorted array the first and every next one at least ``apart`` after the last one kept."""
-    none = F.array().cast("array<double>")
-    return F.aggregate(times, none, lambda acc, t: F.when((F.size(acc) == 0) | (t - F.try_element_at(acc, F.lit(-1)) >= apart), F.concat(acc, F.array(t))).otherwise(acc))
-
-
 def first_per_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("__r = 1").drop("__r")
 

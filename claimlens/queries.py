@@ -13,6 +13,7 @@ from claimlens.functions import text as T
 from claimlens.functions.triggers import deserves_verification, triggers
 from claimlens.operators import aggregates as A
 from claimlens.operators import clusters as C
+from claimlens.operators import folds as FO
 from claimlens.operators import guardrails as G
 from claimlens.operators import joins as J
 from claimlens.operators import windows as W
@@ -417,7 +418,8 @@ def gap_merge(spark, d):
  SELECT user_id, block::INTEGER AS block, count(*)::INTEGER AS n, round(max(t) - min(t), 3)::DOUBLE AS seconds FROM w GROUP BY 1, 2""")
 def capped_blocks(spark, d):
     e = ev(spark, d).withColumn("u", F.col("t"))
-    return W.capped_blocks(e, ["user_id"], "t", "u", "event_id", 86400.0).select("user_id", "block", "n", F.round(F.col("stop") - F.col("start"), 3).alias("seconds"))
+    ship_package(spark)
+    return FO.capped_blocks(e, ["user_id"], "t", "u", "event_id", 86400.0).select("user_id", "block", "n", F.round(F.col("stop") - F.col("start"), 3).alias("seconds"))
 
 
 @query(f"WITH i AS ({ISLANDS}), r AS (SELECT user_id, island, count(*) AS n FROM i GROUP BY 1, 2) SELECT user_id, sum(n - 1)::BIGINT AS repeats, round(sum(n - 1) / sum(n), 4)::DOUBLE AS share, max(n) AS longest FROM r GROUP BY 1")
@@ -435,8 +437,8 @@ def active_clips(spark, d):
  UNION ALL SELECT e.user_id, e.r, CASE WHEN e.t - w.last >= 172800 THEN e.t ELSE w.last END, CASE WHEN e.t - w.last >= 172800 THEN w.n + 1 ELSE w.n END FROM w JOIN e ON e.user_id = w.user_id AND e.r = w.r + 1)
  SELECT user_id, max(n)::INTEGER AS mentions FROM w GROUP BY 1""")
 def spaced_mentions(spark, d):
-    g = ev(spark, d).groupBy("user_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    return g.select("user_id", F.size(W.spaced(F.col("t"), 172800.0)).alias("mentions"))
+    ship_package(spark)
+    return FO.spaced(ev(spark, d), ["user_id"], "t", 172800.0).select("user_id", F.col("n").alias("mentions"))
 
 
 @query(f"""WITH i AS ({IV}), c AS (SELECT event_id, user_id, t - 20000 AS a, t + 20000 AS b FROM i WHERE event_type = 'click'), k AS (SELECT event_id AS turn, user_id, t AS a, stop AS b FROM i WHERE stop IS NOT NULL AND stop - t < 400000 AND event_type <> 'click'),
@@ -521,6 +523,37 @@ def settings_sweep(spark, d):
     return J.settings_sweep(req, heard, [PAD / 4, PAD / 2, float(PAD)], [0.0, 0.3, 0.6])
 
 
+WITNESS = "CASE event_type WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'error' THEN 3 END"
+FAMILY = "CASE WHEN event_type = 'view' THEN substr('ABC', CAST(1 + user_id % 3 AS INT), 1) WHEN event_type = 'purchase' THEN 'B' ELSE 'A' END"
+LISTED = "coalesce(string_agg({}, ',' ORDER BY {}){}, '')"
+
+
+@query(f"""WITH e AS (SELECT *, floor(value) AS f, {FAMILY} AS family, {WITNESS} AS seq FROM ({EV}) x), v AS (SELECT * FROM e WHERE event_type = 'view' AND event_id % 9 <> 0),
+ q AS (SELECT event_id, family, t, i, f + i AS f FROM v, (VALUES (0), (1)) g(i)),
+ n AS (SELECT v.event_id, w.event_id AS place, w.event_type AS witness, w.seq, w.t, w.f, {ANCHOR} AS anchor FROM v JOIN e w ON w.seq IS NOT NULL AND w.family <> v.family AND w.t BETWEEN v.t - {PAD} AND v.t + {PAD}),
+ h AS (SELECT q.event_id, i, witness, seq, bool_or(anchor >= 0.3) AS anchored FROM q JOIN n ON n.event_id = q.event_id AND n.f = q.f GROUP BY ALL),
+ p AS (SELECT s.event_id, s.witness, s.seq, count(*) FILTER (anchored) = 2 AS whole FROM (SELECT DISTINCT event_id, witness, seq FROM n) s LEFT JOIN h ON h.event_id = s.event_id AND h.witness = s.witness GROUP BY ALL),
+ b AS (SELECT event_id, arg_min(witness, seq + CASE WHEN whole THEN 0 ELSE 10 END) AS witness, bool_or(whole) AS whole FROM p GROUP BY 1),
+ c AS (SELECT e.event_id, CASE WHEN e.event_id % 9 = 0 THEN 'no_quantity' WHEN b.event_id IS NULL THEN 'absent' WHEN whole THEN 'confirmed' ELSE 'divergent' END AS status,
+        CASE WHEN e.event_id % 9 <> 0 THEN coalesce(b.witness, CASE WHEN family = 'A' THEN 'purchase' ELSE 'click' END) END AS witness FROM e LEFT JOIN b ON b.event_id = e.event_id WHERE event_type = 'view'),
+ f AS (SELECT q.event_id, {LISTED.format("q.f::BIGINT", "q.i", " FILTER (anchored)")} AS matched, {LISTED.format("q.f::BIGINT", "q.i", " FILTER (anchored IS NOT TRUE)")} AS missing, {LISTED.format("q.f::BIGINT", "q.i", " FILTER (NOT anchored)")} AS unanchored
+       FROM q JOIN c ON c.event_id = q.event_id LEFT JOIN h ON h.event_id = q.event_id AND h.i = q.i AND h.witness = c.witness GROUP BY 1),
+ k AS (SELECT c.event_id, n.f, row_number() OVER (PARTITION BY c.event_id ORDER BY n.t, n.place) AS r FROM c JOIN n ON n.event_id = c.event_id AND n.witness = c.witness WHERE status = 'divergent'),
+ l AS (SELECT event_id, string_agg(f::BIGINT, ',' ORDER BY r) AS heard FROM k WHERE r <= 6 GROUP BY 1)
+ SELECT c.event_id AS statement_id, status, witness, coalesce(matched, '') AS matched, coalesce(missing, '') AS missing, coalesce(unanchored, '') AS unanchored, coalesce(heard, '') AS heard
+ FROM c LEFT JOIN f ON f.event_id = c.event_id LEFT JOIN l ON l.event_id = c.event_id""")
+def corroboration_evidence(spark, d):
+    """Every view states its value and the next one; clicks, purchases and errors are three transcriptions of two families."""
+    e = ev(spark, d).withColumns({"f": F.floor("value").cast("double"), "family": F.expr(FAMILY), "witness_seq": F.expr(WITNESS)})
+    words = F.array(*(F.concat(F.lit(p), F.expr(x).cast("string")) for p, x in (("a", "user_id % 4"), ("b", "event_id % 3"), ("c", "user_id % 5"))))
+    figure = lambda x: F.struct(F.lit("magnitude").alias("kind"), x.alias("value"), x.cast("long").cast("string").alias("raw"))
+    figures = F.when(F.col("event_id") % 9 != 0, F.array(figure(F.col("f")), figure(F.col("f") + 1))).otherwise(F.array().cast("array<struct<kind:string,value:double,raw:string>>"))
+    req = e.filter("event_type = 'view'").select(F.col("event_id").alias("statement_id"), "family", F.col("t").alias("start"), F.col("t").alias("stop"), figures.alias("figures"), words.alias("words"))
+    said = e.filter("witness_seq is not null").select(F.col("event_type").alias("witness"), "witness_seq", F.col("family").alias("w_family"), "t", F.lit("magnitude").alias("kind"), F.col("f").alias("value"), F.col("f").cast("long").cast("string").alias("raw"), F.col("event_id").alias("place"), words.alias("around"), F.lit(0).alias("position"))
+    who = said.select("witness", "witness_seq", "w_family").distinct()
+    return J.evidence(req, said, who, float(PAD), 0.3).select("statement_id", "status", "witness", *(F.array_join(c, ",").alias(c) for c in ("matched", "missing", "unanchored", "heard")))
+
+
 # ---- voices
 
 @query("""WITH u AS (SELECT label, unnest(list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),

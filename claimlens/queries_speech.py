@@ -154,7 +154,7 @@ def caption_folds(spark, d):
 
 @query("SELECT event_type, n, row_number() OVER (ORDER BY n DESC, f)::INTEGER AS place FROM (SELECT event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY 1) q")
 def ranked_counts(spark, d):
-    return R.ranked_counts(table(spark, d, "events"), "event_type", "event_id")
+    return R.ranked_counts(table(spark, d, "events"), "event_type", "event_id").withColumn("place", F.col("place").cast("int"))
 
 
 @query(f"SELECT event_type AS speaker, round(sum(s), 1)::DOUBLE AS seconds, round(sum(s) / sum(sum(s)) OVER (), 3)::DOUBLE AS share FROM (SELECT event_type, round(stop - t) AS s FROM ({IV}) i WHERE stop IS NOT NULL) q GROUP BY 1")
@@ -209,6 +209,7 @@ def bench_tally(spark, d):
  c AS (SELECT user_id, event_type, max(n) AS n, min(last) FILTER (r = 1) AS first FROM w GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first, event_type DESC) AS place, sum(n) OVER (PARTITION BY user_id) AS total FROM c)
  SELECT user_id AS cluster, event_type AS id, n::INTEGER AS mentions, round(n / total, 6)::DOUBLE AS share FROM k WHERE place = 1""")
 def name_votes(spark, d):
+    ship_package(spark)
     v = ev(spark, d).select(F.col("user_id").alias("cluster"), F.col("event_type").alias("id"), "t")
     return R.name_votes(v, 86400.0).withColumn("share", F.round("share", 6))
 
@@ -236,7 +237,7 @@ SECTION = "CASE WHEN p_size < 17 THEN 'speeches' WHEN p_size < 34 THEN 'programm
  t AS (SELECT *, speeches + programme + other AS total FROM p)
  SELECT *, speeches >= 3 AS voice_enrolable, programme > 0 AS coherence_available, row_number() OVER (ORDER BY total DESC, slug)::INTEGER AS place, (SELECT median(total) FROM t)::DOUBLE AS median FROM t""")
 def dossier_report(spark, d):
-    return R.dossier_report(table(spark, d, "part").select(F.col("p_brand").alias("slug"), F.expr(SECTION).alias("section")), "slug", ["speeches", "programme", "other"], "speeches", "programme")
+    return R.dossier_report(table(spark, d, "part").select(F.col("p_brand").alias("slug"), F.expr(SECTION).alias("section")), "slug", ["speeches", "programme", "other"], "speeches", "programme").withColumn("place", F.col("place").cast("int"))
 
 
 @query(r"SELECT conv_id, count(*) AS blocks, round(max(turn + 1) / 60.0, 2)::DOUBLE AS minutes, sum(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')))::BIGINT AS words, (max(turn + 1) / 2.0)::DOUBLE AS speed FROM conversations GROUP BY 1")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimlens.functions import numbers as N
 from claimlens.functions import text as T
 from claimlens.functions.triggers import spans_of
+from claimlens.operators import folds as FO
 from claimlens.operators import joins as J
 from claimlens.operators import windows as W
 from claimlens.sources import readers, writers
@@ -101,8 +102,9 @@ def test_greedy_pairs(spark):
 
 def test_capped_blocks_and_spacing(spark):
     rows = spark.createDataFrame([("u", i, float(i * 10), float(i * 10 + 9)) for i in range(7)], "k string, seq long, a double, b double")
-    assert [(r["start"], r["n"]) for r in W.capped_blocks(rows, ["k"], "a", "b", "seq").orderBy("block").collect()] == [(0.0, 3), (30.0, 3), (60.0, 1)]
-    assert one(spark, W.spaced(F.array(*map(F.lit, [0.0, 10.0, 30.0, 59.0, 60.0])), 30.0)) == [0.0, 30.0, 60.0]
+    assert [(r["start"], r["n"]) for r in FO.capped_blocks(rows, ["k"], "a", "b", "seq").orderBy("block").collect()] == [(0.0, 3), (30.0, 3), (60.0, 1)]
+    times = spark.createDataFrame([("k", t) for t in (0.0, 10.0, 30.0, 59.0, 60.0)], "k string, t double")
+    assert tuple(FO.spaced(times, ["k"], "t", 30.0).first()) == ("k", 3, 0.0)
 
 
 def test_round_trips(spark, tmp_path):
