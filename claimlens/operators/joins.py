@@ -7,13 +7,16 @@ shuffle by key instead of planning as nested loops; a pair is found in the first
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimlens.functions.numbers import cosine, overlap_seconds
+from claimlens.functions.numbers import overlap_seconds
+from claimlens.operators.vectors import identify, separated  # noqa: F401
 from claimlens.storage import materialise
 
 
@@ -74,16 +77,39 @@ def greedy_nearest(left: DataFrame, right: DataFrame, group: str, reach: float =
     u = u.withColumn("__cut", F.when(F.col("t") - F.lag("t").over(w) > reach, 1).otherwise(0)).withColumn("run", F.sum("__cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__cut")
     kind = left.schema["id"].dataType.simpleString()
 
-    def match(f: pa.Table) -> pa.Table:
-        f = f.sort_by([("t", "ascending"), ("id", "ascending")])
-        a, b = (f.filter(pc.equal(f["side"], side)) for side in (0, 1))
-        taken = nearest_free(a["t"].to_pylist(), b["t"].to_pylist(), reach)
-        used = {j for j in taken if j is not None}
-        rest = [j for j in range(len(b)) if j not in used]
-        columns = [pa.concat_arrays([a["id"].combine_chunks(), pa.nulls(len(rest), f["id"].type)]), b["id"].combine_chunks().take(pa.array([*taken, *rest], pa.int64()))]
-        return pa.table(columns, names=["left_id", "right_id"])
-
-    return u.groupBy(group, "run").applyInArrow(match, f"left_id {kind}, right_id {kind}")
+    def pairs(f: pa.Table) -> Iterator[pa.RecordBatch]:
+        """All runs of a table of whole runs, in order of run, t and id."""
+        side, t, same = f["side"].to_numpy(), f["t"].to_numpy(), f.group_by([group, "run"], use_threads=False).aggregate([("t", "count")])["t_count"].to_pylist()
+        one, two, at = [], [], 0
+        for n in same:
+            a, b = at + np.flatnonzero(side[at : at + n] == 0), at + np.flatnonzero(side[at : at + n] == 1)
+            taken = [None if j is None else int(b[j]) for j in nearest_free(t[a].tolist(), t[b].tolist(), reach)]
+            rest = sorted(set(b.tolist()) - set(taken))
+            one += [*a.tolist(), *([None] * len(rest))]
+            two += [*taken, *rest]
+            at += n
+        ids = f["id"].combine_chunks()
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(one, pa.int64())), ids.take(pa.array(two, pa.int64()))], ["left_id", "right_id"])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            last = held.num_rows - 1
+            begins = pc.or_(pc.not_equal(held["run"], held["run"][last]), pc.invert(_same(held[group], held[group][last])))
+            cut = pc.sum(begins).as_py() or 0  # whole runs; the last one may go on
+            if cut:
+                yield from pairs(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None:
+            yield from pairs(held)
+
+    dealt = u.repartition(group, "run").sortWithinPartitions(group, "run", "t", "id")
+    return dealt.mapInArrow(match, f"left_id {kind}, right_id {kind}")
+
+
+def _same(column: pa.ChunkedArray, value: pa.Scalar) -> pa.ChunkedArray:
+    return pc.fill_null(pc.equal(column, value), False) if value.is_valid else pc.is_null(column)
 
 
 def nearest_free(left: list[float], right: list[float], reach: float) -> list[int | None]:
@@ -179,41 +205,6 @@ def keyword_terms(claims: DataFrame, forms: DataFrame, key: str, flat: str) -> D
     return keyed.join(F.broadcast(known) if letters <= GLOSSARY else known, "__k").filter(F.col("__s").startswith(F.col("form"))).select(key, "term").distinct()
 
 
-def _print_blocks(prints: DataFrame, block: int) -> tuple[DataFrame, int]:
-    """(block, prints) with at most about ``block`` prints an array, and the number of blocks."""
-    n = max(1, -(-prints.count() // block))
-    return prints.groupBy(F.pmod(F.xxhash64("speaker_id"), F.lit(n)).alias("__b")).agg(F.collect_list(F.struct("speaker_id", "centroid")).alias("prints")), n
-
-
-def _against(rows: DataFrame, blocks: DataFrame, n: int) -> DataFrame:
-    return rows.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))).join(blocks, "__b")
-
-
-def identify(rows: DataFrame, prints: DataFrame, key: str, vector: str, threshold: float = 0.62, margin: float = 0.06, block: int = 1024) -> DataFrame:
-    """(key, speaker_id, similarity, runner_up, reason): top-1 cosine with rejection. prints: speaker_id, centroid.
-
-    The register is cut into blocks of about ``block`` prints; each gives its two nearest, of which the two nearest of all are taken.
-    """
-    blocks, n = _print_blocks(prints, block)
-    near = F.array_sort(F.transform("prints", lambda x: F.struct((-cosine(F.col("v"), x["centroid"])).alias("n"), x["speaker_id"].alias("id"))))
-    own = rows.select(key, F.col(vector).alias("v"))
-    two = _against(own, blocks, n).select(key, F.slice(near, 1, 2).alias("s"))
-    s = two.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("s")) if n > 1 else two
-    scored = own.select(key).join(s, key, "left")
-    found = F.coalesce(F.size("s"), F.lit(0))
-    best, second = -F.get("s", F.lit(0))["n"], F.coalesce(-F.get("s", F.lit(1))["n"], F.lit(0.0))
-    reason = F.when(found <= 0, "no prints").when(best < threshold, "below threshold").when((found > 1) & (best - second < margin), "margin").otherwise("accepted")
-    return scored.select(key, F.when(reason == "accepted", F.get("s", F.lit(0))["id"]).alias("speaker_id"), best.alias("similarity"), second.alias("runner_up"), reason.alias("reason"))
-
-
-def separated(prints: DataFrame, threshold: float = 0.50, block: int = 1024) -> DataFrame:
-    """Prints without any that is more similar than the threshold; both of a close pair go. Every print meets every block, not every other row."""
-    blocks, n = _print_blocks(prints, block)
-    close = F.exists("prints", lambda x: (x["speaker_id"] != F.col("speaker_id")) & (cosine(F.col("centroid"), x["centroid"]) > threshold))
-    gone = _against(prints.select("speaker_id", "centroid"), blocks, n).filter(close).select("speaker_id").distinct()
-    return prints.join(gone, "speaker_id", "left_anti")
-
-
 def look_ahead_votes(mentions: DataFrame, segments: DataFrame, after: float = 5.0, until: float = 90.0, least: float = 10.0, width: float = 120.0, by: list[str] | None = None) -> DataFrame:
     """(mention_id, cluster): the cluster that speaks most between stop+after and stop+until, the asker's excluded. ``by``: equal columns.
 

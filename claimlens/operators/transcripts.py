@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.functions.text import strip_accents
+from claimlens.operators.joins import interval_pairs
 
 # The roles whose speech is analysed, the least seconds of a window and of a segment, the length of a spoken extract.
 ANALYSED_ROLES = ("candidate",)
@@ -18,14 +19,14 @@ def time_slice(blocks: DataFrame, lo: float, hi: float) -> DataFrame:
     return blocks.filter((F.col("stop") > lo) & (F.col("start") < hi))
 
 
-def text_within(blocks: DataFrame, windows: DataFrame, by: list[str], key: str, closed: bool = True, limit: int | None = None) -> DataFrame:
+def text_within(blocks: DataFrame, windows: DataFrame, by: list[str], key: str, closed: bool = True, limit: int | None = None, width: float = 60.0) -> DataFrame:
     """(key, text): what is said in each window of its transcript, in order; empty where nothing is.
 
     blocks: by, seq, start, stop, text; windows: key, by, lo, hi. closed: touching blocks count; limit: cut there, with an ellipsis.
     """
-    b = blocks.select(*by, "seq", "start", "stop", "text")
-    touch = (F.col("stop") >= F.col("lo")) & (F.col("start") <= F.col("hi")) if closed else (F.col("stop") > F.col("lo")) & (F.col("start") < F.col("hi"))
-    said = windows.join(b, by).filter(touch).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("s"))
+    b = blocks.select(*by, "seq", F.col("start").alias("r_start"), F.col("stop").alias("r_stop"), "text")
+    w = windows.select(key, *by, F.col("lo").alias("l_start"), F.col("hi").alias("l_stop"))
+    said = interval_pairs(w, b, width, by, closed).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("s"))
     joined = F.array_join(F.col("s.text"), " ")
     if limit is not None:
         joined = F.trim(joined)

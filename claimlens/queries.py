@@ -576,6 +576,7 @@ CENTRE = """WITH u AS (SELECT label, unnest(list_transform(embedding, lambda x:
  t AS (SELECT vec_id, max(id) FILTER (n = 1) AS id, max(s) FILTER (n = 1) AS a, max(s) FILTER (n = 2) AS b FROM r GROUP BY 1)
  SELECT vec_id, CASE WHEN round(a, 6) >= 0.2 AND round(a - b, 6) >= 0.06 THEN id END AS speaker_id, CASE WHEN round(a, 6) < 0.2 THEN 'below threshold' WHEN round(a - b, 6) < 0.06 THEN 'margin' ELSE 'accepted' END AS reason FROM t""")
 def voice_identify(spark, d):
+    ship_package(spark)
     return J.identify(table(spark, d, "embeddings"), prints(spark, d), "vec_id", "embedding", 0.20, 0.06).select("vec_id", "speaker_id", "reason")
 
 
@@ -594,6 +595,7 @@ def cluster_sweep(spark, d):
 
 @query(CENTRE + " SELECT id AS speaker_id FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.id <> c.id AND list_cosine_similarity(o.c, c.c) > 0.2)")
 def centroid_separation(spark, d):
+    ship_package(spark)
     return J.separated(prints(spark, d), 0.20).select("speaker_id")
 
 

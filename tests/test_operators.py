@@ -83,17 +83,6 @@ def test_containment(spark):
     assert {tuple(r) for r in J.containment(q.filter("item_id in (1, 4)"), s).collect()} == {(1, 10), (4, 10)}
 
 
-def test_prints_in_one_block_or_many(spark):
-    rows = [(i, [float((i * k) % 7 - 3) + 0.1 for k in range(1, 6)]) for i in range(40)]
-    w = spark.createDataFrame(rows, "window_id int, v array<double>")
-    p = spark.createDataFrame([(f"s{i}", v) for i, v in rows[:9]], "speaker_id string, centroid array<double>")
-    one, many = ({r["window_id"]: (r["speaker_id"], round(r["similarity"], 9), round(r["runner_up"], 9), r["reason"]) for r in J.identify(w, p, "window_id", "v", 0.5, 0.05, block=b).collect()} for b in (1000, 2))
-    assert one == many and len(one) == 40
-    assert sorted(r[0] for r in J.separated(p, 0.6).collect()) == sorted(r[0] for r in J.separated(p, 0.6, block=2).collect())
-    none = J.identify(w, p.limit(0), "window_id", "v").collect()
-    assert len(none) == 40 and all(r["reason"] == "no prints" and r["speaker_id"] is None for r in none)
-
-
 def test_greedy_pairs(spark):
     a = spark.createDataFrame([("g", 1, 0.0), ("g", 2, 1.0), ("g", 3, 50.0)], "k string, id long, t double")
     b = spark.createDataFrame([("g", 7, 1.0), ("g", 8, 5.0), ("g", 9, 100.0)], "k string, id long, t double")
