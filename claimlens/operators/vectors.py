@@ -30,8 +30,10 @@ _SLACK = 1e-6  # of angles, for rounding
 
 def _units(column: pa.ListArray | pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of length one (or zero), and which are whole."""
+    if not dim:  # an empty register
+        return np.zeros((len(column), 0)), np.zeros(len(column), bool)
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    whole = (pc.fill_null(pc.list_value_length(column), -1).to_numpy() == dim) & (dim > 0)
+    whole = pc.fill_null(pc.list_value_length(column), -1).to_numpy() == dim
     out = np.zeros((len(column), dim))
     out[whole] = column.filter(pa.array(whole)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)  # a null component becomes NaN
     whole &= np.isfinite(out).all(1)
