@@ -1,21 +1,17 @@
 """Personal data by patterns and by information-theoretic sanitisation.
 
 Base spans (e-mail, IP, card, phone) are the protected entities. Other terms of their documents may
-reveal them as well: from corpus co-occurrence, the pointwise mutual information of a term and an
-entity is compared with the entity's own information, log(N / n_e). The share
-
-    log(p * N / n_e) / log(N / n_e),   p the part of the term's documents that hold the entity
-
-is 1 where the term stands only with the entity and 0 where they are independent. n_te: documents with
-both; n_t, n_e: documents with the term, the entity; N: all documents; all over the whole corpus and whole
-documents. For p = n_te / n_t stands the lower end of Wilson's interval, one-sided at 95 % (``z``): a single document
-proves little about a common entity, whose information is small, but enough about one seen once or twice among many.
-Terms of ``disclosure`` or more are added as spans wherever they stand in documents with the
-entity: generalised to their class, or removed from ``removal`` on. A term is a run of letters and digits.
+reveal them as well: from corpus co-occurrence, p is the probability of the entity in a document that holds the term, estimated by
+n_te / n_t (documents with both, documents with the term) at the lower end of Wilson's interval, one-sided at 95 % (``z``), as a single
+document proves little. What the term leaves unknown about the entity is -log2 p bits; what it tells is log2(p * N / n_e), n_e
+documents of N holding the entity. A term discloses an entity if at most 2 bits are left (p of ``disclosure``, 0.25, or more) and it tells at least one.
+The bar lies on p, which does not depend on N, so a term is judged alike in a corpus of hundreds and of billions of documents.
+Such terms are added as spans wherever they stand in documents with the
+entity: generalised to their class, or removed from p of ``removal`` on. A term is a run of letters and digits.
 
 Documents without an entity are never changed.
 
-Cases: null text counts as empty; repeated rows are each judged and counted; an entity that all documents hold has no information and
+Cases: null text counts as empty; repeated rows are each judged and counted; an entity that all documents hold is told by nothing and
 protects nothing; terms that tie all go; a very long text is scanned whole in one pass, in proportion to its length; an empty table gives an
 empty result; extra columns are ignored (``sanitise`` keeps them).
 """
@@ -30,7 +26,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlens.llm.rows import body_of, text_key
@@ -175,11 +171,10 @@ def document_frequency(docs: DataFrame, terms: DataFrame, text: str) -> DataFram
     return words.groupBy("term").agg(F.sum("n").alias("n_t")).join(terms, "term", "left_semi")
 
 
-def share_of(n_te: Column, n_t: Column, n_e: Column, total: int, z: float) -> Column:
-    """The share of an entity's information that a term discloses, at the lower end of the interval for n_te / n_t."""
+def share_of(n_te: Column, n_t: Column, z: float) -> Column:
+    """The probability of an entity where a term stands, at the lower end of the interval for n_te / n_t."""
     p, n = n_te / n_t, n_t.cast("double")
-    low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    return F.log(low * F.lit(float(total)) / n_e) / F.log(F.lit(float(total)) / n_e)
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
 def _alike(rows: DataFrame, what: str) -> DataFrame:
@@ -191,27 +186,42 @@ def revealing(docs: DataFrame, scanned: DataFrame, text: str, disclosure: float,
     """(row, term, share) of the terms that disclose an entity of their document, with the largest share of its entities.
 
     Entities that stand in the same documents have equal shares with every term, and so have terms; each such class is counted
-    as one, so a document of very many entities seen nowhere else costs as much as with one.
+    as one. A term seen once needs no pairs: all entities of its document have the same share with it. Of others, an entity must stand in at least
+    k of the term's documents, so in one of any n - k + 1 of the n that hold entities: pairs are built in those with the fewest
+    entities only, and counted in the rest. A document of very many terms and entities that also occur elsewhere costs what those other documents hold.
     """
     rows = scanned.filter(F.size("spans") > 0)
     total = docs.count()
     held = rows.select("row", F.explode("entities").alias("entity"))
     n_e = _alike(held, "entity").filter(F.col("n") < total)
-    held = held.join(n_e, "entity").select("row", F.struct("n", "one", "two").alias("e")).distinct()
+    held = materialise(held.join(n_e, "entity").select("row", F.struct("n", "one", "two").alias("e")).distinct(), "held")
     words = rows.select("row", F.explode("terms").alias("term"))
     alike = materialise(_alike(words, "term"), "terms")
     alike = alike.join(document_frequency(docs, alike.select("term"), text), "term").select("term", F.struct("n_t", "n", "one", "two").alias("t"))
     words = materialise(words.join(alike, "term"), "words")
-    # no pair of a document is built whose share would be too small even if the two always stood together
-    n_t, n_e = F.col("t.n_t"), F.col("e.n")
-    most = share_of(F.least(n_t, n_e), n_t, n_e, total, z)
-    pairs = materialise(words.select("row", "t").distinct().join(held, "row").filter(most >= disclosure), "pairs")
-    told = pairs.groupBy("e", "t").agg(F.count("*").alias("n_te")).select("e", "t", share_of(F.col("n_te"), n_t, n_e, total, z).alias("share")).filter(F.col("share") >= disclosure)
+    tells = lambda share, n_e: share * F.lit(float(total)) >= 2 * n_e
+
+    one = share_of(F.lit(1), F.lit(1), z)
+    rarest = held.groupBy("row").agg(F.min("e.n").alias("n_e")).filter((one >= disclosure) & tells(one, F.col("n_e")))
+    alone = words.filter("t.n_t = 1").join(rarest, "row").select("row", "term", one.alias("share"))
+
+    n_t = F.col("t.n_t")
+    # Wilson's bound reaches the bar at this many documents
+    need = F.greatest(F.ceil(n_t * disclosure + z * F.sqrt(n_t * (disclosure * (1 - disclosure))) - 1e-9), F.lit(1))
+    most = held.agg(F.max("e.n")).first()[0] or 0
+    common = materialise(words.filter((n_t > 1) & (F.col("t.n") >= need) & (need <= most)).select("row", "t", need.alias("need")).distinct(), "common")
+    size = held.groupBy("row").agg(F.count("*").alias("m"))
+    place = F.row_number().over(Window.partitionBy("t").orderBy("m", "row"))
+    begun = common.join(size, "row").withColumn("place", place).filter(F.col("place") <= F.col("t.n") - F.col("need") + 1)
+    pairs = begun.join(held, "row").filter(F.col("e.n") >= F.col("need")).select("t", "e").distinct()
+    pairs = materialise(pairs.join(common.select("t", "row"), "t").join(held, ["row", "e"]), "pairs")
+    share = share_of(F.col("n_te"), n_t, z)
+    told = pairs.groupBy("e", "t").agg(F.count("*").alias("n_te")).select("e", "t", share.alias("share")).filter((F.col("share") >= disclosure) & tells(F.col("share"), F.col("e.n")))
     told = pairs.join(told, ["e", "t"]).groupBy("row", "t").agg(F.max("share").alias("share"))
-    return words.join(told, ["row", "t"]).select("row", "term", "share")
+    return alone.unionByName(words.join(told, ["row", "t"]).select("row", "term", "share"))
 
 
-def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", disclosure: float = 0.8, removal: float = 0.95, z: float = 1.645) -> DataFrame:
+def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", disclosure: float = 0.25, removal: float = 0.7, z: float = 1.645) -> DataFrame:
     """(key, row, text_key, spans): spans is an array of (kind, start, stop, share); kind is email, ip, card, phone, term or removed_term."""
     found = materialise(scan(docs, key, text), "personal")
     base = F.transform("spans", lambda s: F.struct(F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), F.lit(None).cast("double").alias("share")))

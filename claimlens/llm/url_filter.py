@@ -12,7 +12,7 @@ wins; without one the verdict is the filter's default.
 
 Cases: null urls and urls without ``://`` have empty host and path and get
 the default; keys of any type pass unchanged, null ones too; a repeated url is judged each time; of rules given twice with both
-verdicts blocking wins; a very long url costs one probe per label and rule length; an empty table
+verdicts blocking wins; of a very long host only suffixes up to the longest rule's length are probed, so a url costs its own length and a bounded number of probes; an empty table
 gives an empty result; extra columns are ignored.
 """
 
@@ -75,6 +75,7 @@ class DigestArray:
         at += 16 * n + 8 + 8 * m
         self.block = raw[at : at + n]
         self.blob = raw[at + n :]
+        self.longest = int(np.diff(self.ends.astype(np.int64)).max(initial=0))
 
     def string(self, i: int) -> bytes:
         return self.blob[int(self.ends[i]) : int(self.ends[i + 1])].tobytes()
@@ -97,14 +98,16 @@ class DigestArray:
         return found
 
 
-def candidates_of(host: str, path: str, lengths: list[int]) -> list[bytes]:
-    """Longest first, so that the first confirmed one wins."""
-    out = []
-    if host:
-        labels = host.split(".")
-        hosts = [".".join(labels[i:]) for i in range(len(labels))]
-        out = [(h + path[:n]).encode() for h in hosts if h for n in lengths if n <= len(path)]
-    return sorted(set(out), key=lambda c: (-len(c), c))
+def candidates_of(host: str, path: str, lengths: list[int], longest: int) -> list[bytes]:
+    """Longest first, so that the first confirmed one wins. Suffixes longer than any rule are not made."""
+    out, at = set(), len(host)
+    while at > 0:
+        at = host.rfind(".", 0, at)
+        if len(host) - at - 1 > longest:
+            break
+        if h := host[at + 1 :]:
+            out.update((h + path[:n]).encode() for n in lengths if n <= len(path))
+    return sorted(out, key=lambda c: (-len(c), c))
 
 
 def filter_urls(urls: DataFrame, rules: Iterable[tuple[str, str, str]], key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
@@ -118,7 +121,7 @@ def filter_urls(urls: DataFrame, rules: Iterable[tuple[str, str, str]], key: str
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         array = DigestArray(SparkFiles.get(name))
         for b in batches:
-            lists = [candidates_of(h, p, array.path_lengths) for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            lists = [candidates_of(h, p, array.path_lengths, array.longest) for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             flat = [c for cs in lists for c in cs]
             found = array.probe(flat)
             rule, verdict, at = [], [], 0

@@ -190,3 +190,12 @@ def test_sql(spark, name):
     assert [c[0] for c in want.description] == df.columns
     order = lambda r: [(x is None, str(x)) for x in r]
     assert sorted(map(tuple, df.collect()), key=order) == sorted(want.fetchall(), key=order)
+
+
+def test_urls_of_very_long_hosts(spark):
+    from claimlens.llm import url_filter
+
+    long = "a." * 2_500_000
+    rows = [(1, f"http://{long}example.com/en/7"), (2, "http://" + "b" * 10_000_000 + "/en/"), (3, f"http://{'x.' * 50_000}org/es/1"), (4, "http://" + "." * 200_000), (5, f"http://net/de/{'8' * 1_000_000}")]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), url_filter.RULES).collect()}
+    assert got == {1: ("example.com/en/7", "allow"), 2: (None, "allow"), 3: ("org/es/", "block"), 4: (None, "allow"), 5: ("net/de/", "allow")}
