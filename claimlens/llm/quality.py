@@ -2,7 +2,8 @@
 
 Two generative models over hashed n-grams (words and word pairs): one of the
 target text, labelled good, one of all raw text. A document's log importance weight is the
-sum over its n-grams of log(target / raw). Documents are sampled without
+sum over its n-grams of log(target / raw); a document of more than ``length`` n-grams is
+weighed as ``length`` of its average ones, so that no text goes for its length alone. Documents are sampled without
 replacement by Gumbel top-k: noise drawn from a hash of the key is added to the
 weight and the k largest stay.
 
@@ -12,7 +13,7 @@ is sent to the workers. k is the number of documents whose weight is at least a
 threshold, put where the labelled classes part best.
 
 Cases: null text counts as empty; a text without words has weight 0 and is never drawn, as nothing speaks for it; a very long text
-is weighted whole; keys are integers or strings; repeated rows get equal weight and noise; rows with
+is weighted whole, by its average n-gram; keys are integers or strings; repeated rows get equal weight and noise; rows with
 a null key are never labelled; labels with a null are ignored, of contradicting
 labels the lower counts; without labelled documents of both classes the threshold is
 0; an empty table gives an empty result; extra columns are ignored.
@@ -35,6 +36,8 @@ from claimlens.storage import materialise
 
 BUCKETS = 16_384
 SAMPLE = 5_000
+#: N-grams of a text beyond which only their average tells.
+LENGTH = 512
 _TOKENS = re.compile(r"\w+|[^\w\s]+").findall
 _REMEMBER = 150_000
 
@@ -91,7 +94,7 @@ def fit(docs: DataFrame, sampled: dict[int, int], key: str, text: str, buckets:
     return np.log(models["target"] / models["target"].sum()) - np.log(models["raw"] / models["raw"].sum())
 
 
-def weights(docs: DataFrame, ratio: np.ndarray, key: str, text: str, seed: int) -> DataFrame:
+def weights(docs: DataFrame, ratio: np.ndarray, key: str, text: str, seed: int, length: int = LENGTH) -> DataFrame:
     """(key, text_key, n_features, log_weight, gumbel_weight); text_key as of ``rows``."""
     kind = docs.schema[key].dataType.simpleString()
     buckets = len(ratio)
@@ -103,7 +106,7 @@ def weights(docs: DataFrame, ratio: np.ndarray, key: str, text: str, seed: int)
             for t in b.column(2):
                 x = features(t.as_py()).astype(np.int64)
                 sizes.append(len(x))
-                w.append(float(ratio[x].sum()))
+                w.append(float(ratio[x].sum()) * min(1.0, length / max(len(x), 1)))
             w = np.array(w, float)
             u = (np.array([xxhash.xxh64_intdigest(str(k.as_py()).encode(), seed) >> 11 for k in b.column(0)], float) + 0.5) / 2**53
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(w), pa.array(w - np.log(-np.log(u)))], [key, "text_key", "n_features", "log_weight", "gumbel_weight"])
@@ -150,13 +153,13 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
     return lo
 
 
-def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", share: float | None = None, buckets: int = BUCKETS, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", share: float | None = None, buckets: int = BUCKETS, sample: int = SAMPLE, seed: int = 7, length: int = LENGTH) -> DataFrame:
     """(key, text_key, n_features, log_weight, gumbel_weight, kept). share: part of the documents to draw; None: from the labels.
 
     Rows whose perturbed weight ties with the k-th stay.
     """
     sampled = labelled(labels, key, label, sample)
-    scored = materialise(weights(docs, fit(docs, sampled, key, text, buckets), key, text, seed), "weights")
+    scored = materialise(weights(docs, fit(docs, sampled, key, text, buckets), key, text, seed, length), "weights")
     worded = scored.filter("n_features > 0")
     if share is None:
         k = worded.filter(F.col("log_weight") >= F.lit(threshold(scored, sampled, key))).count()
