@@ -52,6 +52,11 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(strip_accents(c)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def review_slug(c: Column) -> Column:
+    """Every character but letters and digits as a dash, none at the ends; accents stay."""
+    return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "-"), "^-+|-+$", "")
+
+
 def sentences(c: Column) -> Column:
     parts = F.split(c, r"(?<=[.!?…])\s+(?=[A-ZÀÉÈÊÎÔÙ])")
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")

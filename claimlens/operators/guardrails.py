@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.functions.numbers import DOUBTFUL, threshold_verdict
+from claimlens.functions.numbers import DOUBTFUL, POINT_BARS, RELATIVE_BARS, threshold_verdict
 
 _weak = lambda: F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(DOUBTFUL))
 
@@ -32,6 +32,25 @@ def thresholds(statements: DataFrame) -> DataFrame:
     return statements.withColumn("__v", v).withColumn("confidence", c).withColumn("verdict", F.col("__v")).drop("__v")
 
 
+def explained_thresholds(statements: DataFrame) -> DataFrame:
+    """``thresholds`` that say what they did. statements: also tags (array of strings) and note.
+
+    A gap within the exact bar is tagged approximate_magnitude, once; a gap in points is noted, and so is a verdict withdrawn because the judge
+    called exact what it measured beyond the bars. Abstentions and unmeasured gaps get neither.
+    """
+    gap, points = F.col("gap"), F.coalesce(F.col("unit") == "points", F.lit(False))
+    decided = F.col("verdict").isin("exact", "approximate", "false") & gap.isNotNull()
+    inside = decided & (gap <= F.when(points, POINT_BARS[0]).otherwise(RELATIVE_BARS[0]))
+    beyond = decided & (F.col("verdict") == "exact") & (gap > F.when(points, POINT_BARS[1]).otherwise(RELATIVE_BARS[1]))
+    in_points = F.concat(F.replace(F.format_string("%.2f", gap.cast("double")), F.lit("."), F.lit(",")), F.when(gap >= 2, " points").otherwise(" point"))
+    written = F.when(points, in_points).otherwise(F.concat(F.bround(gap * 100, 0).cast("long").cast("string"), F.lit("%")))
+    withdrawn = F.when(beyond, F.concat(F.lit("(Withdrawn: called exact with a gap of "), written, F.lit(".)")))
+    measured = F.when(decided & points, F.concat(F.lit("(Gap in points: "), written, F.lit(".)")))
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
+    tagged = F.when(F.coalesce(inside, F.lit(False)) & ~F.array_contains(tags, "approximate_magnitude"), F.array_append(tags, F.lit("approximate_magnitude"))).otherwise(tags)
+    return thresholds(statements.withColumns({"tags": tagged, "note": F.concat_ws(" ", F.nullif("note", F.lit("")), withdrawn, measured)}))
+
+
 def red_guard(statements: DataFrame, unlocked: bool = False) -> DataFrame:
     """No false leaves unless unlocked and corroborated."""
     stop = (F.col("verdict") == "false") & ~(F.lit(unlocked) & F.coalesce("corroborated", F.lit(False)))

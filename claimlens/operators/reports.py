@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimlens.functions.text import review_slug
 from claimlens.operators.folds import spaced
+from claimlens.operators.guardrails import promotable
 from claimlens.operators.ranking import ranked
 from claimlens.operators.windows import islands
 
@@ -171,3 +173,14 @@ def corroboration_note(status: Column, witness: Column, missing: Column, unancho
         .when(status == "no_witness", "only one transcription: no independent source")
         .otherwise("no figure to corroborate")
     )
+
+
+def findings(statements: DataFrame, key: str, order: str) -> DataFrame:
+    """One row a claim worth keeping: speaker, slug, key, statement_id, verdict and confidence of its first occurrence, and how many there were.
+
+    statements: speaker, statement_id, key, order, verdict, confidence, sources, withdrawn; only promotable ones count. Any later speaker of the
+    same claim adds to the first one's finding.
+    """
+    first = F.min_by(F.struct("speaker", "statement_id", "verdict", "confidence"), F.struct(order, "statement_id"))
+    g = promotable(statements).groupBy(key).agg(first.alias("f"), F.count("*").alias("occurrences"))
+    return g.select(F.col("f.speaker").alias("speaker"), review_slug(F.col("f.speaker")).alias("slug"), key, "f.statement_id", "f.verdict", "f.confidence", "occurrences")

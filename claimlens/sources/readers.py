@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimlens.functions.numbers import l2_normalise
 from claimlens.functions.text import seconds_of, strip_tags
+from claimlens.operators.transcripts import caption_fold
 
 TRANSCRIPT = "source string, source_titre string, titre string, transcription struct<modele:string,famille:string,langue:string,produite_le:string,secondes_de_calcul:double>, blocs array<struct<debut:double,fin:double,texte:string,locuteur:string>>"
 PRINT = "speaker_id string, display_name string, role string, centroid array<float>, sample_count int, total_seconds double, sources array<string>, enrolled_on string, human_verified boolean"
@@ -28,22 +30,33 @@ def subtitles(spark: SparkSession, path: str) -> DataFrame:
     return cues.select("file", "seq", seconds_of(g(1)).alias("start"), seconds_of(g(2)).alias("stop"), strip_tags(g(3)).alias("text"), g(1).alias("__m")).filter("__m <> '' and text <> ''").drop("__m")
 
 
+def subtitle_segments(spark: SparkSession, path: str) -> DataFrame:
+    """WebVTT files to segments: (file, start, stop, text), rolling captions without what was already said."""
+    return caption_fold(subtitles(spark, path), "file")
+
+
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Lines without the _meta header; blank lines are skipped."""
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    r = lines.select(F.from_json("value", f"_meta string, {schema}").alias("r")).select("r.*")
-    return r.filter("_meta is null").drop("_meta")
+    return _lines(spark, path, schema).select("r.*")
+
+
+def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(r, at): the record of each line, and a struct that orders lines by file, split and place."""
+    lines = spark.read.text(path).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("at"))
+    r = lines.filter(F.trim("value") != "").select(F.from_json("value", f"_meta string, {schema}").alias("r"), "at")
+    return r.filter("r._meta is null").select(F.col("r").dropFields("_meta").alias("r"), "at")
 
 
 def verdicts(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSONL verdicts; of a repeated id the last line counts. Line numbers order rows within a file."""
-    v = jsonl(spark, path, schema).withColumn("__n", F.monotonically_increasing_id())
-    cols = [c for c in v.columns if c != "__n"]
-    return v.groupBy("statement_id").agg(F.max_by(F.struct(*cols), "__n").alias("r")).select("r.*")
+    """JSONL verdicts; of a repeated id the last line counts, of several files the last by name, however the scan deals out its splits."""
+    v = _lines(spark, path, schema)
+    return v.groupBy("r.statement_id").agg(F.max_by("r", "at").alias("r")).select("r.*")
 
 
 def voice_prints(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PRINT).json(path, multiLine=True).withColumn("human_verified", F.coalesce("human_verified", F.lit(False)))
+    """Prints with their centroid scaled to length one again, as files hold it rounded; a centroid of zeros stays."""
+    p = spark.read.schema(PRINT).json(path, multiLine=True).withColumn("human_verified", F.coalesce("human_verified", F.lit(False)))
+    return p.withColumn("centroid", l2_normalise(F.col("centroid")).cast("array<float>"))
 
 
 def primary_sources(spark: SparkSession, base: str, max_chars: int = 40_000) -> DataFrame:

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimlens.functions.text import review_slug
+
 
 def statements_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
@@ -22,7 +24,7 @@ def batch_jsonl(df: DataFrame, path: str, meta: dict[str, str], brief: str = "br
 
 def review_queue(findings: DataFrame, path: str) -> None:
     """A folder per speaker, most frequent findings first."""
-    findings.withColumn("slug", F.col("speaker")).repartition("slug").sortWithinPartitions("slug", F.desc("occurrences")).write.mode("overwrite").partitionBy("slug").json(path)
+    findings.withColumn("slug", review_slug(F.col("speaker"))).repartition("slug").sortWithinPartitions("slug", F.desc("occurrences")).write.mode("overwrite").partitionBy("slug").json(path)
 
 
 def registry(prints: DataFrame, path: str) -> None:
