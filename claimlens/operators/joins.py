@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlens.functions.numbers import overlap_seconds
+from claimlens.operators.scan import passes, quotes_within
 from claimlens.operators.vectors import identify, separated  # noqa: F401
 from claimlens.storage import materialise
 
@@ -26,6 +27,9 @@ LEAST_QUOTE = 12
 #: Letters of a glossary, with 16 a row besides, up to which it is sent to all tasks; a larger one is dealt by its forms' beginnings.
 GLOSSARY = 8 << 20
 
+#: Passes over the sources up to which quotes of four words or more are looked for by automata.
+PASSES = 8
+
 
 def _buckets(lo: Column, hi: Column, width: float) -> Column:
     return F.sequence(F.floor(lo / width), F.floor(F.greatest(lo, hi) / width))
@@ -141,25 +145,40 @@ def nearest_free(left: list[float], right: list[float], reach: float) -> list[in
 def held_by(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     """(item_id, source_id): every source that holds a quote; where both have a domain column, only sources of the quote's, if it is not null.
 
-    A quote of four words or more may begin inside a word, but its second and third words are
-    whole: it meets the sources that hold that word pair, and only these are searched. Shorter quotes are searched in every source.
+    Quotes of all lengths are looked for by automata, one pass over the sources each and no shuffle of texts. Where there are more than
+    PASSES of them, a quote of four words or more, which may begin inside a word but whose second and third words are whole, meets the sources that
+    hold that word pair, and only these are searched; the shorter ones still go by automata. A null quote or source text holds nothing, an empty
+    quote lies in every text; of a repeated quote every item gets the sources.
     """
+    narrow = "domain" in quotes.columns and "domain" in sources.columns
+    reps = quotes.filter("flat is not null").groupBy("flat").agg(F.min("item_id").alias("rep"))
+    pairs, parts = None, passes(reps)
+    if parts > PASSES:
+        short = F.size(F.split("flat", " ")) < 4
+        pairs, reps = _by_word_pair(reps.filter(~short), sources, narrow), reps.filter(short)
+        parts = passes(reps)
+    hits = pairs
+    if parts or hits is None:
+        texts = sources if narrow else sources.select("source_id", "flat")
+        found = quotes_within(reps, texts, max(parts, 1))
+        hits = found if hits is None else hits.unionByName(found)
+    of = quotes.select("item_id", "flat", *([F.col("domain").alias("q_domain")] if narrow else []))
+    known = quotes.groupBy("flat").agg(F.min("item_id").alias("rep"))
+    j = hits.join(of.join(known, "flat").drop("flat"), "rep")
+    return (j.filter("q_domain is null or q_domain = domain") if narrow else j).select("item_id", "source_id")
+
+
+def _by_word_pair(quotes: DataFrame, sources: DataFrame, narrow: bool) -> DataFrame:
+    """(source_id, rep, domain if narrow): quotes of four words or more with the sources that hold them."""
     pair = lambda a, b: F.concat_ws(" ", a, b)
     w = F.split("flat", " ")
     # words beside their successors: an index into the split inside a lambda would split the text again for every word
     pairs = F.array_distinct(F.zip_with(w, F.slice(w, 2, F.size(w)), pair))
     held = sources.select("source_id", F.explode_outer(pairs).alias("k"))  # the plain explode has its array computed twice
-    long, short = quotes.filter(F.size(w) >= 4), quotes.filter(F.size(w) < 4)
-    near = held.join(long.select("item_id", pair(F.get(w, F.lit(1)), F.get(w, F.lit(2))).alias("k")), "k").select("source_id", "item_id").distinct()
-    narrow = "domain" in quotes.columns and "domain" in sources.columns
-    text = lambda df, name: df.select("item_id" if name == "q" else "source_id", F.col("flat").alias(name), *([F.col("domain").alias(f"{name}_domain")] if narrow else []))
-    holds = F.col("s").contains(F.col("q"))
-    if narrow:
-        holds &= F.col("q_domain").isNull() | (F.col("q_domain") == F.col("s_domain"))
-    hits = near.join(text(long, "q"), "item_id").join(text(sources, "s"), "source_id").filter(holds).select("item_id", "source_id")
-    if short.limit(1).count():
-        hits = hits.unionByName(text(sources, "s").join(text(short, "q"), holds).select("item_id", "source_id"))
-    return hits
+    near = held.join(quotes.select("rep", pair(F.get(w, F.lit(1)), F.get(w, F.lit(2))).alias("k")), "k").select("source_id", "rep").distinct()
+    texts = sources.select("source_id", F.col("flat").alias("s"), *(["domain"] if narrow else []))
+    found = near.join(quotes.withColumnRenamed("flat", "q"), "rep").join(texts, "source_id").filter(F.col("s").contains(F.col("q")))
+    return found.select("source_id", *(["domain"] if narrow else []), "rep")
 
 
 def containment(quotes: DataFrame, sources: DataFrame) -> DataFrame:
