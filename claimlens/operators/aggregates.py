@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from claimlens.functions.numbers import dot
@@ -35,10 +35,36 @@ def speech_coverage(blocks: DataFrame) -> DataFrame:
     return blocks.agg(s(F.lit(True)).alias("total"), s(~F.col("identified")).alias("unattributed"), s(F.col("identified") & ~F.col("analysed")).alias("not_analysed"), s(F.col("analysed") & F.col("identified")).alias("analysed_seconds"))
 
 
-def run_stats(statements: DataFrame) -> DataFrame:
+def _run_counters(statements: DataFrame) -> list[Column]:
     unv = F.count_if(F.col("verdict") == "unverified")
     verified = F.count_if(F.col("verdict").isNotNull() & (F.col("verdict") != "out_of_scope"))
-    return statements.agg(F.count("*").alias("statements"), verified.alias("verified"), unv.alias("unverified"), F.round(F.coalesce(F.try_divide(unv, verified), F.lit(0.0)), 6).alias("abstention"), F.count_if(F.col("verdict") == "false").alias("reds"))
+    out = [F.count("*").alias("statements"), verified.alias("verified"), unv.alias("unverified"), F.round(F.coalesce(F.try_divide(unv, verified), F.lit(0.0)), 6).alias("abstention"), F.count_if(F.col("verdict") == "false").alias("reds")]
+    if "triggers" in statements.columns:
+        out.append(F.count_if(F.size("triggers") > 0).alias("triggered"))
+    if "sources" in statements.columns:
+        unproved = F.size(F.filter("sources", lambda s: ~F.coalesce(s["quote_verified"], F.lit(False))))
+        out.append(F.coalesce(F.sum(F.greatest(unproved, F.lit(0))), F.lit(0)).cast("long").alias("unverified_quotes"))
+    if "strong_verdict" in statements.columns:
+        out.append(F.count("strong_verdict").alias("escalated"))
+    return out
+
+
+def run_stats(statements: DataFrame) -> DataFrame:
+    """One row of counters. statements: verdict, and for the counters named triggered, unverified_quotes and escalated the columns triggers,
+    sources (structs with quote_verified, null counting as not verified) and strong_verdict (null where no second judge was asked)."""
+    return statements.agg(*_run_counters(statements))
+
+
+def observed_run(statements: DataFrame) -> tuple[DataFrame, Observation]:
+    """The statements, and the counters of ``run_stats`` gathered while an action runs over them: no second pass. Read them after the action."""
+    seen = Observation("run")
+    return statements.observe(seen, *_run_counters(statements)), seen
+
+
+def status_counts(rows: DataFrame) -> DataFrame:
+    """(status, n, share) of all statements, those without figures too."""
+    n = rows.groupBy("status").agg(F.count("*").alias("n"))
+    return n.select("status", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 3).alias("share"))
 
 
 def majority_identity(windows: DataFrame, key: str) -> DataFrame:
@@ -104,6 +130,13 @@ def ledger_status(occurrences: DataFrame, key: str) -> DataFrame:
     return g.withColumn("status", status).drop("low", "high")
 
 
+def audit_occurrences(occurrences: DataFrame, key: str) -> DataFrame:
+    """(key, status, statement_id, verdict, confidence): the occurrences of every claim met more than once, a row each, so a claim met very often
+    is no single row; confidence to three places."""
+    status = ledger_status(occurrences, key).filter("occurrences > 1").select(key, "status")
+    return occurrences.select(key, "statement_id", "verdict", F.round("confidence", 3).alias("confidence")).join(status, key).select(key, "status", "statement_id", "verdict", "confidence")
+
+
 def dominant(rows: DataFrame, by: list[str], who: str, seconds: str) -> DataFrame:
     t = rows.groupBy(*by, who).agg(F.sum(seconds).alias("s"))
     return t.groupBy(*by).agg(F.max_by(who, F.struct("s", F.col(who))).alias(who), F.max("s").alias("seconds"))

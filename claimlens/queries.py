@@ -683,4 +683,4 @@ def windowed_events(spark, d):
     return table(spark, d, "events").groupBy(F.date_trunc("day", "ts").alias("start"), "event_type").agg(F.count("*").alias("n")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-from claimlens import queries_chain as _chain, queries_records as _records, queries_speech as _speech, queries_streams as _streams  # noqa: E402, F401  (register their queries here)
+from claimlens import queries_chain as _chain, queries_records as _records, queries_speech as _speech, queries_streams as _streams, queries_texts as _texts  # noqa: E402, F401  (register their queries here)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.functions.text import review_slug
+from claimlens.operators.aggregates import audit_occurrences
 
 
 def statements_json(df: DataFrame, path: str) -> None:
@@ -15,11 +17,13 @@ def statements_json(df: DataFrame, path: str) -> None:
 
 
 def batch_jsonl(df: DataFrame, path: str, meta: dict[str, str], brief: str = "brief") -> None:
-    """A _meta header line, then one line a statement that has a brief; one file, header first."""
-    spark = df.sparkSession
-    body = df.filter(F.coalesce(F.col(brief), F.lit("")) != "").select(F.lit(1).alias("o"), F.to_json(F.struct(*df.columns)).alias("value"))
-    head = spark.range(1).select(F.lit(0).alias("o"), F.to_json(F.struct(F.create_map(*[F.lit(x) for kv in meta.items() for x in kv]).alias("_meta"))).alias("value"))
-    head.unionByName(body).repartitionByRange(1, "o").sortWithinPartitions("o").select("value").write.mode("overwrite").text(path)
+    """A folder of lines, one a statement that has a brief, and a file with the _meta line that comes first by name.
+
+    The lines are written by all tasks; the header follows when they are in place, so a folder with a header is whole.
+    """
+    body = df.filter(F.coalesce(F.col(brief), F.lit("")) != "").select(F.to_json(F.struct(*df.columns)).alias("value"))
+    body.write.mode("overwrite").text(path)
+    state_file(df, f"{path.rstrip('/')}/header.jsonl", json.dumps({"_meta": meta}, ensure_ascii=False) + "\n")
 
 
 def review_queue(findings: DataFrame, path: str) -> None:
@@ -38,8 +42,9 @@ def transcript_json(blocks: DataFrame, path: str) -> None:
     t.select(F.col("transcript_id").alias("source"), F.struct(F.col("family").alias("famille")).alias("transcription"), F.transform("b", lambda x: x.dropFields("seq")).alias("blocs")).write.mode("overwrite").json(path)
 
 
-def ledger_audit(status: DataFrame, path: str) -> None:
-    status.filter("occurrences > 1").write.mode("overwrite").json(path)
+def ledger_audit(occurrences: DataFrame, key: str, path: str) -> None:
+    """The occurrences of every claim met more than once, a line each, claims together."""
+    audit_occurrences(occurrences, key).sort(key, "statement_id").write.mode("overwrite").json(path)
 
 
 def report_json(report: DataFrame, path: str) -> None:
@@ -66,8 +71,6 @@ def state_file(df: DataFrame, path: str, text: str) -> None:
 
 def confirmation_yaml(clusters: DataFrame, path: str, header: str = "") -> None:
     """The clusters a person is to confirm, some hundreds of a debate, as one YAML file that replaces the former at once."""
-    import json
-
     import yaml
 
     rows = [json.loads(r) for r in clusters.toJSON().toLocalIterator()]
