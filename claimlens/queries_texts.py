@@ -29,7 +29,7 @@ def evidence_texts(spark, d):
     return P.evidence_texts(r, s, "item_id", _BUDGET)
 
 
-@query("""WITH s AS (SELECT l_orderkey, count(*) AS n, string_agg('  - ' || l_linenumber || ' -- ' || l_partkey || ' (' || l_returnflag || ', ' || year(l_shipdate) || ')', chr(10) ORDER BY l_linenumber) AS s FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1)
+@query("""WITH s AS (SELECT l_orderkey, count(*) AS n, string_agg('  - ' || l_linenumber || ' -- ' || l_partkey || ' (' || l_returnflag || ', ' || year(l_shipdate) || ')', chr(10) ORDER BY l_linenumber::VARCHAR, '  - ' || l_linenumber || ' -- ' || l_partkey || ' (' || l_returnflag || ', ' || year(l_shipdate) || ')') AS s FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1)
  SELECT o_orderkey::VARCHAR AS domain, '  - ' || o_orderkey || ' (' || coalesce(n, 0) || ' primary source(s))' AS line, o_orderpriority || chr(10) || chr(10) || 'Primary sources in this domain:' || chr(10) || coalesce(s, '') AS orientation FROM orders LEFT JOIN s ON l_orderkey = o_orderkey""")
 def domain_orientations(spark, d):
     """Orders stand for domains, their finished lines for sources; some orders have none."""
