@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from claimlens.plans.statements import statements
@@ -11,6 +12,13 @@ from claimlens.streaming import ledger as L
 from claimlens.streaming.tables import run_table
 
 _SPACE = "E' \\t\\n\\r\\f\\v'"
+
+
+def _round4(c: str) -> Column:
+    """To four digits as the SQL does, in doubles; Spark's round goes by the decimal digits and differs where these end in a five. Not below zero."""
+    return F.floor(F.col(c) * 10000 + 0.5) / 10000
+
+
 # sentences with the white space before them, so that lengths add up to places
 PIECES = r"string_split(regexp_replace(text, '([.!?…])(\s+)([A-ZÀÉÈÊÎÔÙ])', '\1' || chr(1) || '\2\3', 'g'), chr(1))"
 
@@ -25,7 +33,7 @@ def stream_statements(spark, d):
 
     def plan(docs):
         turns = docs.select("doc_id", F.lit(5.0).alias("start"), F.lit(65.0).alias("stop"), F.col("source").alias("speaker"), "text")
-        return statements(turns, "doc_id").select("doc_id", "statement_id", "offset", "end", F.round("timestamp", 4).alias("timestamp"))
+        return statements(turns, "doc_id").select("doc_id", "statement_id", "offset", "end", _round4("timestamp").alias("timestamp"))
 
     return run_table(spark, d, "documents", plan).drop("batch")
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,17 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "t.parquet"))
     out = drained(table_stream(stream_session(spark), str(tmp_path), "t"), str(tmp_path / "out"), str(tmp_path / "cp"), reader=spark)
     assert out.count() == 0
+
+
+def test_times_are_rounded_as_in_sql(spark, tmp_path):
+    """Times that end in a five at the fifth digit."""
+    from claimlens.queries import ORACLES, QUERIES
+    import claimlens.queries_streams  # noqa: F401
+
+    rows = [(i, "A" * (n - 1) + ". " + "B" * (16000 - n - 1) + ".", "web") for i, n in enumerate((15977, 12603, 12553, 11111, 800))]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["stream_statements"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(ORACLES["stream_statements"]).fetchall())
+    assert got[2][-1] == 52.2612  # Spark's round gives 52.2613
