@@ -258,28 +258,48 @@ def _spoken(r: DataFrame, h: DataFrame, width: float) -> DataFrame:
     return spoke.union(windows.filter(inside).join(h, "slot").filter(other & within).select(*_PAIR)).distinct()
 
 
-def _equal(r: DataFrame, h: DataFrame, width: float, min_anchor: float | Column) -> DataFrame:
-    """(statement, witness, i, anchored): the i-th figure asked for is heard, and whether among the same words; a row a hit."""
+def _hits(required: DataFrame, heard: DataFrame, settings: list[tuple[float, float | None]]) -> DataFrame:
+    """(statement, witness, i, hits array<boolean>): whether the i-th figure asked for is heard, for each setting of pad and least anchor (None: any words).
+
+    Rows of a slot that say the same figure among the same words are one entry with its first and last time, and so are, once their anchors are known, all
+    that statements with one figure and the same words ask of the slot: a window that reaches over the slot's border holds such a row just if
+    the last is not before the window and the first is not after it. So rows that say the same do not pair up. Where the least pad is too
+    small for its windows to leave a slot, every time is an entry of its own.
+    """
     from claimlens.functions.text import anchor_ratio
 
+    pads, levels = [p for p, _ in settings], list(dict.fromkeys(a for _, a in settings))
+    short, pad = min(pads), max(pads)
+    crossing = short >= 1.0 and pad <= 16 * short
+    width = 1.5 * short if crossing else max(pad, 1.0)
     slot = lambda t: F.floor(t / width)
-    within, other = F.col("t").between(F.col("lo"), F.col("hi")), F.col("family") != F.col("w_family")
     # relative tolerance is below a thousandth of a cell on this scale, so equal values lie in one cell or two neighbours
     cell = lambda v: F.floor(F.signum(v) * F.log1p(F.abs(v)) * 1e6)
-    v, w = F.col("q.value"), F.col("value")
+    v, w = F.col("asked_value"), F.col("value")
     slack = F.lit(1e-9) * F.greatest(F.abs(v), F.lit(1.0))
-    asked = r.select("statement_id", "family", "lo", "hi", "words", F.posexplode("figures").alias("i", "q"))
-    asked = asked.withColumn("kind", F.col("q.kind")).withColumn("cell", F.explode(F.array_distinct(F.array(cell(v - slack), cell(v + slack))))).withColumn("slot", F.explode(F.sequence(slot(F.col("lo")), slot(F.col("hi")))))
-    met = asked.join(h.withColumn("cell", cell(w)), ["kind", "cell", "slot"]).filter(other & within & (F.abs(v - w) <= slack))
-    return met.select(*_PAIR, "i", (anchor_ratio(F.col("words"), F.col("around"), F.col("position")) >= min_anchor).alias("anchored"))
-
 
-def _windowed(required: DataFrame, heard: DataFrame, pad: float | Column, width: float | None) -> tuple[DataFrame, DataFrame, float]:
+    said = heard.withColumns({"slot": slot(F.col("t")), "cell": cell(w)}).groupBy(*_PAIR[1:], "w_family", "kind", "value", "cell", "around", "position", "slot", *([] if crossing else ["t"])).agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    asks = required.select("statement_id", "family", "start", "stop", "words", F.posexplode("figures").alias("i", "q")).select("statement_id", "family", "start", "stop", "words", F.xxhash64("words").alias("__w"), "i", F.col("q.kind").alias("kind"), F.col("q.value").alias("asked_value"))
+    asks = asks.withColumn("slot", F.explode(F.sequence(slot(F.col("start") - pad), slot(F.col("stop") + pad))))
+    same = ["family", "kind", "asked_value", "__w", "slot"]
+    classes = asks.select(*same, "words").distinct().withColumn("cell", F.explode(F.array_distinct(F.array(cell(v - slack), cell(v + slack)))))
+    met = classes.join(said, ["kind", "cell", "slot"]).filter((F.col("family") != F.col("w_family")) & (F.abs(v - w) <= slack))
+    met = met.withColumn("__a", anchor_ratio(F.col("words"), F.col("around"), F.col("position")))
+    of = lambda a, c: c if a is None else F.when(F.col("__a") >= a, c)
+    ends = [f(of(a, F.col(c))).alias(f"__{c}{k}") for k, a in enumerate(levels) for f, c in ((F.min, "first"), (F.max, "last"))]
+    # without a border to cross times do not fall together
+    known = met.groupBy(*same, "words", *_PAIR[1:], *([] if crossing else ["first"])).agg(*ends).withColumnRenamed("words", "__words")
+    told = asks.join(known, same).filter(F.col("words").eqNullSafe(F.col("__words")))
+    within = lambda p, k: F.coalesce((F.col(f"__last{k}") >= F.col("start") - p) & (F.col(f"__first{k}") <= F.col("stop") + p), F.lit(False))
+    return told.groupBy(*_PAIR, "i").agg(F.array(*(F.bool_or(within(p, levels.index(a))) for p, a in settings)).alias("hits")).filter(F.exists("hits", lambda x: x))
+
+
+def _windowed(required: DataFrame, heard: DataFrame, pad: float, width: float | None) -> tuple[DataFrame, DataFrame, float]:
     width = width or max(pad, 1.0)
     return required.withColumns({"lo": F.col("start") - pad, "hi": F.col("stop") + pad}), heard.withColumn("slot", F.floor(F.col("t") / width)), width
 
 
-def corroborate(required: DataFrame, heard: DataFrame, pad: float | Column = 20.0, min_anchor: float | Column = 0.2, width: float | None = None) -> DataFrame:
+def corroborate(required: DataFrame, heard: DataFrame, pad: float = 20.0, min_anchor: float = 0.2, width: float | None = None) -> DataFrame:
     """(statement_id, status, witness): all required figures must be heard from one witness of another family.
 
     required: statement_id, family, start, stop, figures array<struct<kind,value>>, words array<string>;
@@ -288,7 +308,7 @@ def corroborate(required: DataFrame, heard: DataFrame, pad: float | Column = 20.
     Figures meet by kind, value and time slot, so rows of other values never pair up.
     """
     r, h, width = _windowed(required, heard, pad, width)
-    met = _equal(r, h, width, min_anchor).filter("anchored")
+    met = _hits(required, heard, [(pad, min_anchor)])
     found = _spoken(r, h, width).withColumn("i", F.lit(None).cast("int")).union(met.select(*_PAIR, "i")).groupBy(*_PAIR).agg(F.count_distinct("i").alias("n"))
 
     j = required.join(found, "statement_id", "left")
@@ -312,7 +332,7 @@ def evidence(required: DataFrame, heard: DataFrame, witnesses: DataFrame, pad: f
     """
     r, h, width = _windowed(required, heard, pad, width)
     figures = F.size("figures")
-    equal = materialise(_equal(r, h, width, min_anchor).groupBy(*_PAIR, "i").agg(F.bool_or("anchored").alias("anchored")), "equal")
+    equal = materialise(_hits(required, heard, [(pad, None), (pad, min_anchor)]).select(*_PAIR, "i", F.col("hits")[1].alias("anchored")), "equal")
     spoke = _spoken(r, h, width).withColumns({"i": F.lit(None).cast("int"), "anchored": F.lit(False)})
     per = spoke.unionByName(equal).groupBy(*_PAIR).agg(F.count_if("anchored").alias("n"))
     ranked = required.select("statement_id", figures.alias("asked")).join(per, "statement_id")
@@ -352,15 +372,16 @@ def settings_sweep(required: DataFrame, heard: DataFrame, pads: list[float], anc
 
     kept: every statement of ``must_block`` is not confirmed and every one of ``must_confirm`` is. Inputs as for ``corroborate``.
     """
-    spark = required.sparkSession
-    grid = spark.createDataFrame([(float(p), float(a)) for p in pads for a in anchors], "pad double, min_anchor double")
-    rows = required.join(F.broadcast(grid)).withColumn("statement_id", F.struct("statement_id", "pad", "min_anchor")).drop("pad", "min_anchor")
-    status = corroborate(rows, heard, F.col("statement_id.pad"), F.col("statement_id.min_anchor"), max(1.0, min(pads))).select("statement_id.*", "status")
-    figures, confirmed = F.count_if(F.col("status") != "no_quantity"), F.count_if(F.col("status") == "confirmed")
-    bad = (F.col("statement_id").isin(must_block or []) & (F.col("status") == "confirmed")) | (F.col("statement_id").isin(must_confirm or []) & (F.col("status") != "confirmed"))
-    return status.groupBy("pad", "min_anchor").agg(
-        F.count("*").alias("statements"), figures.alias("with_figures"), confirmed.alias("corroborated"), F.round(confirmed / F.greatest(figures, F.lit(1)), 3).alias("coverage"), (F.count_if(bad) == 0).alias("kept")
-    )
+    settings = [(float(p), float(a)) for p in pads for a in anchors]
+    every = range(len(settings))
+    per = _hits(required, heard, settings).groupBy("statement_id", "witness").agg(*(F.count_if(F.col("hits")[k]).alias(f"__n{k}") for k in every))
+    j = required.select("statement_id", F.size("figures").alias("asked")).join(per, "statement_id", "left")
+    one = j.groupBy("statement_id").agg(F.bool_or(F.coalesce(F.col("asked") != 0, F.lit(True))).alias("asks"), *(F.coalesce(F.bool_or(F.col(f"__n{k}") == F.col("asked")), F.lit(False)).alias(f"__c{k}") for k in every))
+    bad = lambda c: (F.col("statement_id").isin(must_block or []) & c) | (F.col("statement_id").isin(must_confirm or []) & ~c)
+    row = lambda k: F.struct(F.lit(settings[k][0]).alias("pad"), F.lit(settings[k][1]).alias("min_anchor"), F.count_if(f"__c{k}").alias("corroborated"), (F.count_if(bad(F.col(f"__c{k}"))) == 0).alias("kept"))
+    total = one.agg(F.count("*").alias("statements"), F.count_if("asks").alias("with_figures"), F.array(*map(row, every)).alias("__s"))
+    coverage = F.round(F.col("corroborated") / F.greatest("with_figures", F.lit(1)), 3).alias("coverage")
+    return total.select("statements", "with_figures", F.inline("__s")).select("pad", "min_anchor", "statements", "with_figures", "corroborated", coverage, "kept")
 
 
 def best_setting(sweep: DataFrame) -> DataFrame:

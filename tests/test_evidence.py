@@ -1,10 +1,12 @@
 """Corroboration with its evidence, and greedy pairs, against plain loops."""
 
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from claimlens.operators.joins import HEARD, evidence, greedy_nearest, nearest_free
+from claimlens.operators.joins import HEARD, evidence, greedy_nearest, nearest_free, settings_sweep
 
 
 def pairs_by_hand(left, right, reach):
@@ -100,3 +102,33 @@ def test_evidence_without_anything(spark):
     w = spark.createDataFrame([], "witness string, witness_seq int, w_family string")
     assert tuple(evidence(r, h, w).first()) == (1, "no_witness", None, [], ["1 %"], [], [])
     assert evidence(r.filter("statement_id = 2"), h, w).count() == 0
+
+
+def _asked(spark, rows):
+    return spark.createDataFrame(rows, "statement_id long, family string, start double, stop double, figures array<struct<kind:string,value:double,raw:string>>, words array<string>")
+
+
+def _said(spark, rows):
+    return spark.createDataFrame(rows, "witness string, witness_seq int, w_family string, t double, kind string, value double, raw string, place long, around array<string>, position int")
+
+
+@pytest.mark.parametrize("pads, anchors", [([1.0, 2.0, 12.0], [0.0, 0.3, 0.6]), ([0.0, 0.5, 40.0], [0.0, 0.7]), ([3.0], [0.4])])
+def test_sweep_equals_loops(spark, pads, anchors):
+    rng = random.Random(5)
+    words = lambda: [w + str(rng.randrange(3)) for w in "abc"]
+    figure = lambda: ("n", float(rng.randrange(3)), "")
+    req = []
+    for i in range(60):
+        at = rng.randrange(160) / 2
+        req.append((i, rng.choice("AB"), at, at + rng.choice([0.0, 0.5, 7.0]), [figure() for _ in range(rng.randrange(3))], words()))
+    heard = [(w, s, f, rng.randrange(200) / 2, "n", float(rng.randrange(3)), "", i, words(), 0) for i in range(150) for w, s, f in [rng.choice([("x", 1, "A"), ("y", 2, "B"), ("z", 3, "B")])]]
+    want = set()
+    for p in pads:
+        for a in anchors:
+            n = 0
+            for _, family, lo, hi, figures, mine in req:
+                hit = lambda v, w: any(h[0] == w and h[5] == v and lo - p <= h[3] <= hi + p and len(set(mine) & set(h[8])) / 3 >= a for h in heard)  # noqa: B023, E731
+                n += bool(figures) and any(all(hit(v, w) for _, v, _ in figures) for w, f in (("x", "A"), ("y", "B"), ("z", "B")) if f != family)
+            asks = sum(bool(r[4]) for r in req)
+            want.add((p, a, len(req), asks, n, round(n / asks + 1e-12, 3)))
+    assert {tuple(r)[:-1] for r in settings_sweep(_asked(spark, req), _said(spark, heard), pads, anchors).collect()} == want
