@@ -357,11 +357,19 @@ def evidence(required: DataFrame, heard: DataFrame, witnesses: DataFrame, pad: f
     of = lambda keep: F.transform(F.filter("f", keep), lambda x: x["raw"])
     told = told.select("statement_id", of(lambda x: F.coalesce(x["anchored"], F.lit(False))).alias("matched"), of(lambda x: ~F.coalesce(x["anchored"], F.lit(False))).alias("missing"), of(lambda x: x["anchored"].eqNullSafe(F.lit(False))).alias("unanchored"))
 
-    lo, hi = F.col("start") - pad, F.col("stop") + pad
-    windows = chosen.filter("status = 'divergent'").select("statement_id", "witness", lo.alias("lo"), hi.alias("hi"), F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width))).alias("slot"))
-    near = windows.join(h.select("witness", "slot", "t", "place", "raw"), ["witness", "slot"]).filter(F.col("t").between(F.col("lo"), F.col("hi")))
-    few = near.withColumn("__n", F.row_number().over(Window.partitionBy("statement_id").orderBy("t", "place"))).filter(F.col("__n") <= HEARD)
-    instead = few.groupBy("statement_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "raw"))), lambda x: x["raw"]).alias("heard"))
+    # rows of a witness are numbered in each slot; a window asks for the few after its begin and the first few of later slots, by number
+    slot = lambda t: F.floor(t / width)
+    windows = chosen.filter("status = 'divergent'").select("witness", (F.col("start") - pad).alias("t"), F.lit(0).alias("side"), "statement_id", (F.col("stop") + pad).alias("hi")).withColumn("slot", slot(F.col("t")))
+    both = windows.unionByName(h.select("witness", "slot", "t", "place", "raw", F.lit(1).alias("side")), allowMissingColumns=True)
+    both = both.withColumn("n", F.sum("side").over(Window.partitionBy("witness", "slot").orderBy("t", "side", "place").rowsBetween(Window.unboundedPreceding, 0)))
+    both = materialise(both, "numbered")
+    few = lambda n: F.explode(F.sequence(n + 1, n + HEARD))
+    begun, last = both.filter("side = 0"), slot(F.col("hi"))
+    later = begun.withColumn("slot", F.explode(F.when(last > F.col("slot"), F.sequence(F.col("slot") + 1, last)))).withColumn("n", few(F.lit(0).cast("long")))
+    keys = ["witness", "slot", "n"]
+    sought = begun.withColumn("n", few(F.col("n"))).select("statement_id", "hi", *keys).union(later.select("statement_id", "hi", *keys))
+    near = sought.join(both.filter("side = 1").select(*keys, "t", "raw"), keys).filter("t <= hi")
+    instead = near.groupBy("statement_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("slot", "n", "raw"))), 1, HEARD), lambda x: x["raw"]).alias("heard"))
     empty = F.array().cast("array<string>")
     out = chosen.drop("figures").join(told, "statement_id", "left").join(instead, "statement_id", "left")
     return out.select("statement_id", "status", "witness", *(F.coalesce(c, empty).alias(c) for c in ("matched", "missing", "unanchored", "heard")))

@@ -132,3 +132,22 @@ def test_sweep_equals_loops(spark, pads, anchors):
             asks = sum(bool(r[4]) for r in req)
             want.add((p, a, len(req), asks, n, round(n / asks + 1e-12, 3)))
     assert {tuple(r)[:-1] for r in settings_sweep(_asked(spark, req), _said(spark, heard), pads, anchors).collect()} == want
+
+
+def test_crowded_windows_do_not_pair_up(spark):
+    """Many statements and rows of one figure in one window: 3.6 thousand million pairs, and as many again for what is heard instead."""
+    n, words = 60_000, ["a", "b", "c"]
+    at = (F.col("id") % 977).cast("double")
+    array = lambda x: F.array(*map(F.lit, x))
+    figure = F.struct(F.lit("n").alias("kind"), F.lit(1.0).alias("value"), F.lit("1").alias("raw"))
+    other = F.struct(F.lit("n").alias("kind"), F.lit(9.0).alias("value"), F.lit("9").alias("raw"))
+    req = spark.range(n).select(F.col("id").alias("statement_id"), F.lit("A").alias("family"), at.alias("start"), at.alias("stop"), F.array(figure, other).alias("figures"), array(words).alias("words"))
+    heard = spark.range(n).select(F.lit("w").alias("witness"), F.lit(1).alias("witness_seq"), F.lit("B").alias("w_family"), at.alias("t"), F.lit("n").alias("kind"), F.lit(1.0).alias("value"), F.concat(F.lit("r"), F.col("id")).alias("raw"), F.col("id").alias("place"), array(words).alias("around"), F.lit(0).alias("position"))
+    began = time.time()
+    out = evidence(req, heard, heard.select("witness", "witness_seq", "w_family").distinct(), 300.0, 0.3)
+    got = {r["statement_id"]: r for r in out.filter("statement_id in (0, 500, 976)").collect()}
+    assert {(tuple(r["matched"]), tuple(r["missing"]), r["status"]) for r in got.values()} == {(("1",), ("9",), "divergent")}
+    assert {k: r["heard"] for k, r in got.items()} == {k: [f"r{max(k - 300, 0) + 977 * i}" for i in range(6)] for k in got}
+    sweep = settings_sweep(req.withColumn("figures", F.array(figure)), heard, [100.0, 300.0], [0.0, 0.3]).collect()
+    assert [r["corroborated"] for r in sweep] == [n] * 4
+    assert time.time() - began < 120
