@@ -1,10 +1,14 @@
-"""Near-duplicates by Jaccard similarity of word shingles: MinHash bands find candidates, the shingle sets confirm them.
+"""Near-duplicates by Jaccard similarity of word shingles: SimHash fingerprints by anchor-point covering find the close ones, MinHash bands
+those that fingerprints leave apart, and the shingle sets confirm all.
 
-A text is the set of its distinct word shingles (``simhash.shingles``); texts of equal sets (by a digest of 128 bits) are one point. BANDS x ROWS
-minima make BANDS cells a point; two points of similarity 0.8 share none with probability
+A text is the set of its distinct word shingles (``simhash.shingles``); texts of equal sets (by a digest of 128 bits) are one point.
+Fingerprints of the same shingles are linked at BITS or fewer differing bits (``simhash.links``). Few pairs near the threshold are that close
+(at a similarity of 0.8 some 10 bits of 64 differ), and a covering of so wide a radius would copy a fingerprint to thousands of anchors, so
+BANDS x ROWS minima make BANDS cells a point besides; two points of similarity 0.8 share none with probability
 (1 - 0.8^6)^40 = 5e-6, less above. No fingerprint distance or estimate decides: every candidate is compared by its sets.
 
-Classes are connected components over confirmed pairs. First each point is compared with the least and the greatest point of
+Classes are connected components over confirmed pairs. First come the pairs that fingerprints link; points in one class by these are not
+compared again. Then each point is compared with the least and the greatest point of
 its cells. Where a cell still holds several components, its points are compared with those of other components that share
 one of their rarest shingles at a place that allows the similarity (``rare_pairs``). So texts around one passage are not
 compared for it, a group of near copies mostly costs its size, and no pair of a cell in different components that could reach
@@ -25,11 +29,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimlens.llm import simhash
 from claimlens.llm.components import connected_components
 from claimlens.llm.rows import body_of, text_key
 from claimlens.llm.simhash import SEED, shingles
 from claimlens.storage import materialise
 
+#: Bits in which linked fingerprints may differ.
+BITS = 3
 BANDS, ROWS = 40, 6
 _DRAW = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64)
 _FLIP, _TIMES = _DRAW[0] << np.uint64(1) ^ _DRAW[1], _DRAW[1] | np.uint64(1)
@@ -79,6 +86,18 @@ def points_of(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     return rows.mapInArrow(run, f"`{key}` {kind}, text_key binary, point binary, size long, cells array<long>")
 
 
+def fingerprint_pairs(docs: DataFrame, prints: DataFrame, key: str, text: str, words: int, least: float) -> DataFrame:
+    """Pairs (a, b) of points, as structs (point, size, text_key): each fingerprint's points with its least one, and the least ones of linked fingerprints."""
+    marks = simhash.fingerprints(docs.select(text_key(key, text).alias("text_key"), F.col(text)), "text_key", text, words).distinct()
+    rows = prints.filter("size > 0").select("point", "size", "text_key").distinct()
+    points = materialise(marks.join(rows, "text_key").select("fp", F.struct("point", "size", "text_key").alias("b")), "fingerprints")
+    first = materialise(points.groupBy("fp").agg(F.min("b").alias("a")), "first-points")
+    links = simhash.links(first, BITS).distinct().withColumnsRenamed({"a": "fp", "b": "other"})
+    across = links.join(first, "fp").select("a", F.col("other").alias("fp")).join(first.withColumnRenamed("a", "b"), "fp")
+    pairs = points.join(first, "fp").select("a", "b").union(across.select("a", "b")).filter("a.point != b.point")
+    return pairs.filter(F.least("a.size", "b.size") / F.greatest("a.size", "b.size") >= least)
+
+
 def shrunk(texts: DataFrame) -> DataFrame:
     """(point, body) with the body compressed: bodies are sent out once for every pair."""
 
@@ -156,18 +175,25 @@ def rare_pairs(points: DataFrame, texts: DataFrame, words: int, least: float) ->
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """(key, text_key, root) of every row: root names its class of points linked by a similarity of ``least`` or more."""
     prints = materialise(points_of(docs, key, text, words), "shingles")
+    close = materialise(fingerprint_pairs(docs, prints, key, text, words, least), "close")
     members = prints.groupBy("point").agg(F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("cells").alias("cells"))
     members = members.select("point", "text_key", "size", F.explode("cells").alias("cell"))
     ends = members.groupBy("cell").agg(F.min(F.struct("point", "size")).alias("low"), F.max(F.struct("point", "size")).alias("high")).filter("low.point < high.point")
     members = materialise(members.join(ends, "cell"), "cells")
     # one text stands for a point
-    wanted = members.select("point", "text_key").distinct()
+    wanted = members.select("point", "text_key").union(close.select("a.point", "a.text_key")).union(close.select("b.point", "b.text_key")).distinct()
     texts = docs.select(text_key(key, text).alias("text_key"), body_of(text).cast("binary").alias("body"))
     texts = materialise(texts.join(wanted, "text_key").dropDuplicates(["point"]).transform(shrunk), "texts")
+    close = close.select(F.least("a.point", "b.point").alias("a"), F.greatest("a.point", "b.point").alias("b")).distinct()
+    linked = materialise(confirmed(close, texts, words, least), "near")
+    classes = materialise(connected_components(linked), "classes")
     # sets of too different sizes cannot be that similar, so their texts need not be compared
     met = lambda end: members.filter(F.least("size", f"{end}.size") / F.greatest("size", f"{end}.size") >= least).select(F.least("point", f"{end}.point").alias("a"), F.greatest("point", f"{end}.point").alias("b"))
-    pairs = met("low").union(met("high")).filter("a < b").distinct()
-    edges = materialise(confirmed(pairs, texts, words, least), "near")
+    root = lambda end: classes.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    pairs = met("low").union(met("high")).filter("a < b").distinct().join(root("a"), "a", "left").join(root("b"), "b", "left")
+    pairs = pairs.filter("a_root is null or b_root is null or a_root != b_root").select("a", "b").join(close, ["a", "b"], "left_anti")
+    pairs = materialise(pairs, "pairs")
+    edges = materialise(confirmed(pairs, texts, words, least).union(linked), "near")
     roots = materialise(connected_components(edges), "roots")
     # what the ends of the cells leave apart
     placed = members.join(roots.withColumnRenamed("node", "point"), "point", "left").select("cell", "point", "size", F.coalesce("root", "point").alias("root"))
@@ -175,6 +201,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     main = parts.groupBy("cell").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
     apart = materialise(placed.join(main, "cell").select("point", "size", "root").distinct(), "apart")
     more = rare_pairs(apart, texts, words, least)
-    more = materialise(confirmed(more.join(pairs, ["a", "b"], "left_anti"), texts, words, least), "near")
+    more = materialise(confirmed(more.join(pairs.union(close), ["a", "b"], "left_anti"), texts, words, least), "near")
     roots = connected_components(edges.union(more)).select(F.col("node").alias("point"), "root")
     return prints.select(key, "text_key", "point").join(roots, "point", "left").select(key, "text_key", F.coalesce("root", "point").alias("root"))

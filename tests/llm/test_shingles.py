@@ -98,3 +98,22 @@ def test_null_and_shared_ids(spark):
     left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), None).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in left) == sorted([(0, rows[5][1]), (4, rows[2][1]), (5, rows[3][1]), (5, rows[4][1])])
     assert corpus_pipeline.near_duplicates(spark, spark.createDataFrame([], SCHEMA), None).count() == 0
+
+
+def test_close_fingerprints_link_by_anchors(spark, monkeypatch):
+    """With no cells for any, the copies within 3 bits of one another are found by their fingerprints; the sets still decide."""
+    from claimlens.llm.simhash import fingerprint
+
+    monkeypatch.setattr(shingles, "bands", lambda s: [])
+    monkeypatch.setattr(shingles, "points_of", local_points)
+    rng, rows = random.Random(3), []
+    for i in range(20):
+        w = [f"y{rng.randrange(5000)}" for _ in range(600)]
+        rows += [(3 * i, " ".join(w)), (3 * i + 1, " ".join(["begun", *w[1:]])), (3 * i + 2, " ".join([*w[:-1], "ended"]))]
+    # one shingle decides both fingerprints, the sets share one of eleven
+    rows += [(100, "a " * 100 + "b c d e f"), (101, "a " * 100 + "g h i j k")]
+    fp = {k: fingerprint(t.encode(), 5) for k, t in rows}
+    near = [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 3]
+    assert fp[100] == fp[101] and len(near) > 30
+    got = {r["doc_id"]: r["root"] for r in shingles.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[a] == got[b] for a, b in near if a < 100) and got[100] != got[101]
