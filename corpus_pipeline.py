@@ -16,19 +16,31 @@ from claimlens.llm.rows import text_key
 from claimlens.storage import discarding, materialise, release, ship_package, table
 
 
-def good_quality(spark, docs, sf_dir):
+#: Rows of an Arrow batch: whole texts in batches of Spark's 10000 rows stay in the memory of the Python workers, which are kept from stage to stage.
+ROWS_A_BATCH = 1000
+
+
+def ready(spark):
+    """Ships the package; a stage's last step runs after it returns, so the batches stay small in this session."""
     ship_package(spark)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(size)) <= ROWS_A_BATCH:
+        spark.conf.set(size, ROWS_A_BATCH)
+
+
+def good_quality(spark, docs, sf_dir):
+    ready(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_duplicates(spark, docs, sf_dir):
-    ship_package(spark)
+    ready(spark)
     return exact_dedup.drop_duplicates(docs)
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each group of similarity 0.8 or more stays: the one with the smallest id."""
-    ship_package(spark)
+    """Fingerprints by anchors, then bands, the shingle sets confirming: one document of each group of similarity 0.8 or more stays, the one with the smallest id."""
+    ready(spark)
     classes = materialise(shingles.near_duplicates(docs), "classes")
     # null ids come last; different texts may share an id: of those in one class the smallest key stays
     stay = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))["text_key"].alias("__cl_key"))
@@ -37,12 +49,12 @@ def near_duplicates(spark, docs, sf_dir):
 
 
 def personal_data(spark, docs, sf_dir):
-    ship_package(spark)
+    ready(spark)
     return pii.sanitise(docs)
 
 
 def packed(spark, docs, sf_dir):
-    ship_package(spark)
+    ready(spark)
     return packing.pack(docs)
 
 
