@@ -45,6 +45,8 @@ _BLOCK = 512
 _PIECE = 10000
 #: Points of a bucket: a block of the comparison holds the texts of two buckets at most.
 BUCKET = 128
+#: Words of 64 bits in a mark.
+MARK = 16
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -68,6 +70,12 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
+def mark(s: np.ndarray) -> np.ndarray:
+    """One bit for each of 64 * MARK classes of shingles: whether the set holds an odd number of them. Marks differ in no more bits than their sets in shingles."""
+    held = np.bincount((s >> np.uint64(32)) % np.uint64(64 * MARK), minlength=64 * MARK)
+    return np.packbits((held & 1).astype(np.uint8)).view(np.int64)
+
+
 def points_of(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """(key, text_key, point, size, cells) of every row; size is the number of distinct shingles."""
     kind = docs.schema[key].dataType.simpleString()
@@ -148,26 +156,34 @@ def rare_pairs(points: DataFrame, texts: DataFrame, words: int, least: float) ->
 
     Shingles are ranked by how few of these points hold them. The first common shingle of two sets of n and m shingles, at places
     i and j from 0, leaves at most min(n - i, m - j) in common, and the similarity asks for least / (1 + least) of n + m. So it stands
-    among the rarest (1 - least) n of its set, and passages that many texts share, ranked last, bring no pair together.
+    among the rarest (1 - least) n of its set, and passages that many texts share, ranked last, bring no pair together. The similarity
+    also allows at most (1 - least) / (1 + least) of n + m in which the sets differ, and marks tell where they differ in more: so copies of
+    one text that were changed apart share a rare shingle now and then, but make no pair for it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, body in enumerate(b.column(3)):
-                own = shingle_set(zstandard.decompress(body.as_py()), words).view(np.int64)
-                for at in range(0, len(own), _PIECE):
-                    piece = pa.array(own[at : at + _PIECE])
-                    yield pa.RecordBatch.from_arrays([pa.array([b.column(c)[i].as_py()] * len(piece), b.column(c).type) for c in range(3)] + [piece], ["point", "size", "root", "shingle"])
-
-    held = points.join(texts, "point").select("point", "size", "root", "body").mapInArrow(run, "point binary, size long, root binary, shingle long")
-    held = materialise(held, "held")
+                own = shingle_set(zstandard.decompress(body.as_py()), words)
+                marks, own = pa.array([mark(own)], kind), own.view(np.int64)
+                # the mark comes in a row of its own
+                for piece, m in [(pa.nulls(1, pa.int64()), marks)] + [(pa.array(own[at : at + _PIECE]), None) for at in range(0, len(own), _PIECE)]:
+                    m = pa.nulls(len(piece), kind) if m is None else m
+                    yield pa.RecordBatch.from_arrays([pa.array([b.column(c)[i].as_py()] * len(piece), b.column(c).type) for c in range(3)] + [piece, m], ["point", "size", "root", "shingle", "mark"])
+
+    kind = pa.list_(pa.int64())
+    every = points.join(texts, "point").select("point", "size", "root", "body").mapInArrow(run, "point binary, size long, root binary, shingle long, mark array<long>")
+    every = materialise(every, "held")
+    held = every.filter("shingle is not null").drop("mark")
     shared = held.groupBy("shingle").agg(F.count("*").alias("n"))
     ranked = held.join(shared, "shingle").withColumn("place", F.row_number().over(Window.partitionBy("point").orderBy("n", "shingle")) - 1)
     # a margin for rounding keeps every pair at the threshold
-    first = materialise(ranked.filter(F.col("size") - F.col("place") >= least * F.col("size") - 1e-6).filter("n > 1").drop("n"), "rarest")
+    first = materialise(ranked.filter(F.col("size") - F.col("place") >= least * F.col("size") - 1e-6).filter("n > 1").drop("n").join(every.filter("shingle is null").select("point", "mark"), "point"), "rarest")
     x, y = first.alias("x"), first.alias("y")
     left = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
     enough = left >= least / (1 + least) * (F.col("x.size") + F.col("y.size")) - 1e-6
+    differ = sum((F.bit_count(F.col("x.mark")[i].bitwiseXOR(F.col("y.mark")[i])) for i in range(MARK)), F.lit(0))
+    enough = enough & (differ <= (1 - least) / (1 + least) * (F.col("x.size") + F.col("y.size")) + 1e-6)
     met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.point") < F.col("y.point")) & (F.col("x.root") != F.col("y.root")) & enough
     return x.join(y, met).select(F.col("x.point").alias("a"), F.col("y.point").alias("b")).distinct()
 
@@ -200,7 +216,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     parts = placed.groupBy("cell", "root").agg(F.count("*").alias("n"))
     main = parts.groupBy("cell").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
     apart = materialise(placed.join(main, "cell").select("point", "size", "root").distinct(), "apart")
-    more = rare_pairs(apart, texts, words, least)
-    more = materialise(confirmed(more.join(pairs.union(close), ["a", "b"], "left_anti"), texts, words, least), "near")
+    # written once, as the comparison reads its pairs three times
+    more = materialise(rare_pairs(apart, texts, words, least).join(pairs.union(close), ["a", "b"], "left_anti"), "more-pairs")
+    more = materialise(confirmed(more, texts, words, least), "near")
     roots = connected_components(edges.union(more)).select(F.col("node").alias("point"), "root")
     return prints.select(key, "text_key", "point").join(roots, "point", "left").select(key, "text_key", F.coalesce("root", "point").alias("root"))

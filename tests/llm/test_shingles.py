@@ -117,3 +117,31 @@ def test_close_fingerprints_link_by_anchors(spark, monkeypatch):
     assert fp[100] == fp[101] and len(near) > 30
     got = {r["doc_id"]: r["root"] for r in shingles.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(got[a] == got[b] for a, b in near if a < 100) and got[100] != got[101]
+
+
+def test_copies_changed_apart_make_no_pairs(spark):
+    """Copies of one text that share a rare change by chance, but differ in too many others, are not paired; every pair of the threshold is."""
+    import zstandard
+
+    rng, texts = random.Random(8), []
+    base = [f"z{rng.randrange(5000)}" for _ in range(150)]
+    for i in range(300):
+        gone = set(rng.sample(range(150), 8 if i % 3 else 2))
+        texts.append(" ".join(x for k, x in enumerate(base) if k not in gone))
+    own = [shingles.shingle_set(t.encode(), 5) for t in texts]
+    name = lambda i: bytearray(i.to_bytes(2, "big"))
+    points = spark.createDataFrame([(name(i), len(s), name(i)) for i, s in enumerate(own)], "point binary, size long, root binary")
+    bodies = spark.createDataFrame([(name(i), bytearray(zstandard.compress(t.encode()))) for i, t in enumerate(texts)], "point binary, body binary")
+    got = {(int.from_bytes(r["a"], "big"), int.from_bytes(r["b"], "big")) for r in shingles.rare_pairs(points, bodies, 5, 0.8).collect()}
+    want = {(a, b) for b in range(300) for a in range(b) if shingles.similarity(own[a], own[b]) >= 0.8}
+    assert want and want <= got and len(got - want) < 300
+
+
+def test_marks_differ_in_no_more_bits_than_sets():
+    rng = random.Random(9)
+    for n in (0, 1, 5, 100, 3000):
+        a = shingles.shingle_set(" ".join(f"q{rng.randrange(9000)}" for _ in range(n)).encode(), 1)
+        for cut in (0, n // 9, n // 2):
+            b = a[cut:]
+            bits = sum(((int(x) ^ int(y)) & (1 << 64) - 1).bit_count() for x, y in zip(shingles.mark(a), shingles.mark(b)))
+            assert bits <= len(a) - len(b)
